@@ -2,10 +2,590 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import numbers, text, vectors
+from ..operators import answers, batch, blocks, chunking, evaluation, search, sections, tables
+from ..session import ChunkSettings, SearchSettings
+from ..sources import files
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TOKENS = r"regexp_extract_all(lower(translate({0}, 'ёЁ', 'еЕ')), '\p{{Nd}}+(?:[.,]\p{{Nd}}+)+|[\pL\pN\pM_]+(?:[-''’][\pL\pN\pM_]+)*')"
+
+
+def _tok(c: str) -> str:
+    return _TOKENS.format(c)
+
+
+# --- lexical statistics and search -------------------------------------------
+
+
+@_query(f"""
+WITH w AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term
+""")
+def term_statistics(spark, sf_dir):
+    return search.term_statistics(search.postings(_t(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@_query(f"""
+SELECT count(*) AS n_docs, round(avg(len), 6) AS avgdl FROM (SELECT len({_tok('text')}) AS len FROM documents) WHERE len > 0
+""")
+def corpus_statistics(spark, sf_dir):
+    return search.corpus_statistics(_t(spark, sf_dir, "documents"), "text").withColumn("avgdl", F.round("avgdl", 6))
+
+
+_BM25 = f"""
+d AS (SELECT doc_id, source, {_tok('text')} AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, source, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, source, w, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, unnest(list_distinct({_tok('text')})) AS term FROM benchmark),
+h AS (SELECT item_id, doc_id, source, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)"""
+
+
+def _bm25(spark, sf_dir):
+    return search.bm25(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+
+
+@_query(f"""
+WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h)
+SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, rank FROM r WHERE rank <= 5
+""")
+def lexical_search(spark, sf_dir):
+    """The five best documents by BM25 for every benchmark text."""
+    hits = _bm25(spark, sf_dir).withColumn("score", F.round("score", 9))
+    return search.ranked(hits, 5).withColumn("score", F.round("score", 6))
+
+
+@_query(f"""
+WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h WHERE source = 'src3')
+SELECT item_id AS query_id, doc_id AS id, rank FROM r WHERE rank <= 5
+""")
+def source_prefilter(spark, sf_dir):
+    """Hits within one source: filtered before ranking; statistics are the corpus's."""
+    one = _t(spark, sf_dir, "documents").where(F.col("source") == "src3").select(F.col("doc_id").alias("id"))
+    hits = _bm25(spark, sf_dir).join(one, "id", "left_semi").withColumn("score", F.round("score", 9))
+    return search.ranked(hits, 5).select("query_id", "id", "rank")
+
+
+@_query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
+h AS (SELECT qid, vec_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS c FROM q, embeddings),
+r AS (SELECT qid, vec_id, c, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, vec_id) AS rank FROM h WHERE c > 0.25)
+SELECT qid AS query_id, vec_id AS id, round(c, 6) AS score, rank FROM r WHERE rank <= 10
+""")
+def dense_search(spark, sf_dir):
+    """Exhaustive cosine search above the cutoff; every hundredth vector is a query."""
+    e = _t(spark, sf_dir, "embeddings")
+    hits = search.dense(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "vec_id", "embedding").withColumn("score", F.round("score", 9))
+    return search.ranked(hits, 10).withColumn("score", F.round("score", 6))
+
+
+_LISTS = f"""
+WITH {_BM25},
+a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h QUALIFY rank <= 20),
+c AS (SELECT item_id, doc_id, count(*) AS n FROM q JOIN p USING (term) GROUP BY ALL),
+b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM c QUALIFY rank <= 20),
+u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, 0 AS l, rank FROM a UNION ALL SELECT item_id, doc_id, 0.5::DOUBLE / (60 + rank), 1, rank FROM b),
+g AS (SELECT item_id, doc_id, sum(s) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL),
+z AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, seen, doc_id) AS rank FROM g)"""
+
+
+def _fused(spark, sf_dir):
+    docs, q = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    a = search.ranked(_bm25(spark, sf_dir).withColumn("score", F.round("score", 9)), 20)
+    terms = q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    b = search.ranked(words.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score")), 20)
+    fused = search.fuse([a, b], weights=[1.0, 0.5]).withColumn("score", F.round("score", 12))
+    return fused
+
+
+@_query(_LISTS + " SELECT item_id AS query_id, doc_id AS id, round(score, 9) AS score, rank FROM z WHERE rank <= 10")
+def rank_fusion(spark, sf_dir):
+    """Two lexical lists fused with weights."""
+    return _fused(spark, sf_dir).where("rank <= 10").withColumn("score", F.round("score", 9))
+
+
+@_query(
+    _LISTS
+    + """, m AS (SELECT z.*, source, row_number() OVER (PARTITION BY item_id, source ORDER BY rank) = 1 AS f FROM z JOIN documents USING (doc_id)),
+n AS (SELECT *, f AND sum(f::INT) OVER (PARTITION BY item_id ORDER BY rank) <= 5 AS lead FROM m)
+SELECT item_id AS query_id, doc_id AS id, source, row_number() OVER (PARTITION BY item_id ORDER BY lead DESC, rank) AS rank FROM n"""
+)
+def diversify_by_source(spark, sf_dir):
+    """The best hit of each source first."""
+    hits = _fused(spark, sf_dir).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return search.diversify(hits, "source", 5).select("query_id", "id", "source", "rank")
+
+
+@_query(
+    _LISTS
+    + """, m AS (SELECT z.*, row_number() OVER (PARTITION BY item_id, text ORDER BY rank) AS nth FROM z JOIN documents USING (doc_id))
+SELECT * FROM (SELECT item_id AS query_id, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM m WHERE nth = 1) WHERE rank <= 5"""
+)
+def unique_passages(spark, sf_dir):
+    """Distinct texts among the hits."""
+    hits = _fused(spark, sf_dir).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage")), "id")
+    return search.unique_passages(hits, "passage", 5).select("query_id", "id", "rank")
+
+
+@_query(
+    _LISTS
+    + f""", t AS (SELECT doc_id, ' ' || array_to_string({_tok('text')}, ' ') || ' ' AS norm FROM documents),
+ph AS (SELECT item_id, array_to_string({_tok('text')}[1:3], ' ') AS phrase FROM benchmark)
+SELECT item_id AS query_id, doc_id AS id,
+       row_number() OVER (PARTITION BY item_id ORDER BY contains(norm, ' ' || phrase || ' ') DESC, rank) AS rank
+FROM z JOIN t USING (doc_id) JOIN ph USING (item_id)"""
+)
+def phrase_partition(spark, sf_dir):
+    """Hits that hold the quoted first three words of the query come first."""
+    docs, q = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    quoted = q.select("item_id", F.concat(F.lit('"'), F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " "), F.lit('"')).alias("q"))
+    return search.prefer_phrases(_fused(spark, sf_dir), quoted, docs, "item_id", "q", "doc_id", "text").select("query_id", "id", "rank")
+
+
+@_query(
+    _LISTS
+    + """, m AS (SELECT z.*, CAST(n_chars AS DOUBLE) AS rs, 1.0::DOUBLE / (60 + rank) AS pr FROM z JOIN documents USING (doc_id)),
+x AS (SELECT *, CASE WHEN max(rs) OVER w > min(rs) OVER w THEN (rs - min(rs) OVER w) / (max(rs) OVER w - min(rs) OVER w) ELSE 1 END AS a,
+      CASE WHEN max(pr) OVER w > min(pr) OVER w THEN (pr - min(pr) OVER w) / (max(pr) OVER w - min(pr) OVER w) ELSE 1 END AS b, count(*) OVER w AS k
+      FROM m WINDOW w AS (PARTITION BY item_id)),
+y AS (SELECT *, CASE WHEN k > 1 THEN 0.7 * a + 0.3 * b ELSE rs END AS sc FROM x)
+SELECT item_id AS query_id, doc_id AS id, round(sc, 6) AS score FROM y"""
+)
+def rerank_blend(spark, sf_dir):
+    """A reranker's score (here the text's length) blended with the first-stage rank."""
+    hits = _fused(spark, sf_dir).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("rs")), "id")
+    return search.blend(hits, "rs", 0.3).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@_query()
+def hybrid_search(spark, sf_dir):
+    """All stages over chunks with vectors of a hashing encoder."""
+    encoder = answers.HashingEncoder()
+    chunks = chunk_documents(spark, sf_dir)
+    chunks = answers.encoded(chunks.select("chunk_id", "doc_id", "text", "source_file", "context").withColumn("chunk_id", F.concat("doc_id", F.lit("/"), "chunk_id")), "text", encoder)
+    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("formulation"), "text")
+    qv = answers.encoded(q, "text", encoder).select("query_id", "formulation", "vector")
+    return search.search(q, chunks, SearchSettings(), qv).select("query_id", "chunk_id", "source_file", "rank", F.round("score", 9).alias("score"))
+
+
+# --- text functions ----------------------------------------------------------
+
+
+@_query(r"""
+SELECT doc_id, trim(regexp_replace(lower(text), '[^\pL\pN\pM]+', ' ', 'g')) AS k FROM documents
+""")
+def comparison_key(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.comparison_key(F.col("text")).alias("k"))
+
+
+@_query(r"""
+SELECT doc_id, length(c) AS n, md5(c) AS digest FROM (
+  SELECT doc_id, trim(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(
+    regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t\x{a0}]{2,}', ' ', 'g'), chr(10)),
+    lambda x: trim(x, ' ' || chr(9) || chr(160))), chr(10)), ' ' || chr(9) || chr(10) || chr(160)) AS c FROM documents)
+""")
+def clean_text(spark, sf_dir):
+    c = text.clean_text(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("n"), F.md5(c).alias("digest"))
+
+
+@_query(r"""
+SELECT page_id, p <> '' AND NOT starts_with(p, '/') AND NOT contains(p, '\') AND len(list_filter(string_split(p, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS safe
+FROM (SELECT page_id, regexp_extract(url, '://[^/]*/(.*)$', 1) AS p FROM pages)
+""")
+def path_safety(spark, sf_dir):
+    path = F.regexp_extract("url", "://[^/]*/(.*)$", 1)
+    return _t(spark, sf_dir, "pages").select("page_id", text.safe_relative_path(path).alias("safe"))
+
+
+@_query(r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+x AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, trim(unnest(a)) AS line FROM l)
+SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^\s*\pN+(\.\pN+)*[.)]?\s+\S') THEN least(len(string_split(regexp_extract(line, '^\s*(\pN+(\.\pN+)*)[.)]?\s+\S', 1), '.')), 6)
+     WHEN regexp_matches(line, '(?i)^\s*(chapter|part|lecture|topic|module)([^\pL\pN\pM_]|$)') OR regexp_matches(line, '^\s*[IVXLC]+[.)]\s+\S') THEN 1 END AS level
+FROM x WHERE line <> '' AND length(line) <= 120 AND NOT regexp_matches(line, '[.!?;,]$') AND len(regexp_extract_all(line, '\S+')) <= 16
+""")
+def heading_candidates(spark, sf_dir):
+    """Lines that look like headings, with the level their numbering gives."""
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line"))
+    return lines.where(text.looks_like_heading(F.col("line"))).select("doc_id", (F.col("pos") + 1).alias("pos"), text.heading_level(F.col("line")).alias("level"))
+
+
+@_query()
+def sentences(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@_query("""
+SELECT page_id, CASE WHEN n > 1 THEN n END AS parts, lower(md5(h)) AS digest FROM (
+SELECT page_id, len(string_split(url, '/')) AS n, regexp_replace(lower(url), '[^0-9a-zа-яё]+', '', 'g') AS h FROM pages)
+""")
+def alphanumeric_keys(spark, sf_dir):
+    n = F.size(F.split("url", "/", -1))
+    return _t(spark, sf_dir, "pages").select("page_id", F.when(n > 1, n).alias("parts"), F.md5(text.alphanumeric_key(F.col("url"))).alias("digest"))
+
+
+@_query("""
+SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN replace(format('{:,}', CAST(p_retailprice AS BIGINT)), ',', ' ')
+       ELSE replace(format('{:,.2f}', p_retailprice), ',', ' ') END AS price,
+       TRY_CAST(replace(CAST(p_retailprice AS VARCHAR), '.', ',').replace(',', '.') AS DOUBLE) AS parsed FROM part
+""")
+def number_formats(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", numbers.grouped(F.col("p_retailprice")).alias("price"), numbers.parse_number(F.translate(F.col("p_retailprice").cast("string"), ".", ",")).alias("parsed"))
+
+
+# --- tables ------------------------------------------------------------------
+
+
+@_query("""
+WITH l AS (SELECT 'l_quantity' AS measure, l_quantity AS v, l_shipdate AS d FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice, l_shipdate FROM lineitem
+  UNION ALL SELECT 'l_discount', l_discount, l_shipdate FROM lineitem),
+x AS (SELECT measure, count(v) AS n, min(v) AS lo, max(v) AS hi, sum(v) AS s, avg(v) AS m FROM l GROUP BY measure)
+SELECT measure, n, round(lo, 4) AS min_value, round(hi, 4) AS max_value, round(s, 2) AS sum_value, round(m, 4) AS mean_value,
+  (SELECT strftime(min(d), '%Y-%m-%d') FROM l WHERE l.measure = x.measure AND v = lo) AS min_label,
+  (SELECT strftime(min(d), '%Y-%m-%d') FROM l WHERE l.measure = x.measure AND v = hi) AS max_label FROM x
+""")
+def table_profile(spark, sf_dir):
+    """Measures of lineitem with their extremes, named by ship date."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    p = tables.profile_measures(li, "day", ["l_quantity", "l_extendedprice", "l_discount"])
+    return p.select("measure", "n", F.round("min_value", 4).alias("min_value"), F.round("max_value", 4).alias("max_value"), F.round("sum_value", 2).alias("sum_value"), F.round("mean_value", 4).alias("mean_value"), "min_label", "max_label")
+
+
+@_query("""
+WITH e AS (SELECT 'l_returnflag' AS category, l_returnflag AS value, * FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus, * FROM lineitem),
+g AS (SELECT category, value, count(*) AS n, sum(l_quantity) AS q, sum(l_extendedprice) AS p FROM e GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, value) AS k FROM g)
+SELECT category, value, n, unnest(['l_quantity', 'l_extendedprice']) AS measure, round(unnest([q, p]), 2) AS sum_value FROM t WHERE k <= 12
+""")
+def table_categories(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    return tables.profile_categories(li, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"]).withColumn("sum_value", F.round("sum_value", 2))
+
+
+@_query("""
+SELECT s_suppkey AS key, 'supplier' || chr(10) || concat_ws('; ', 's_name: ' || nullif(trim(s_name), ''), 's_nationkey: ' || s_nationkey, 's_suppkey: ' || s_suppkey) AS record FROM supplier
+""")
+def row_records(spark, sf_dir):
+    return tables.row_records(_t(spark, sf_dir, "supplier"), "s_suppkey", ["s_name", "s_nationkey", "s_suppkey"], "supplier")
+
+
+@_query()
+def markdown_tables(spark, sf_dir):
+    """Each nation's suppliers as a Markdown table and its shape read back."""
+    s = _t(spark, sf_dir, "supplier")
+    row = F.array(F.col("s_suppkey").cast("string"), F.col("s_name"), numbers.format_cell(F.col("s_acctbal"), "double"))
+    grid = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    md = numbers.table_to_markdown(F.concat(F.array(F.array(F.lit("key"), F.lit("name"), F.lit("balance"))), F.col("rows")))
+    return grid.select("s_nationkey", md.alias("markdown")).withColumn("n_rows", F.size(numbers.markdown_rows(F.col("markdown")))).withColumn("degenerate", blocks.is_degenerate_table(F.col("markdown")))
+
+
+# --- blocks and chunks -------------------------------------------------------
+
+
+def _outline(spark, sf_dir) -> DataFrame:
+    """Conversations as outlines: a user's turn opens a section, its depth from the turn's number."""
+    c = _t(spark, sf_dir, "conversations")
+    level = F.when(F.col("role") == "user", (F.col("turn") % 3 + 1).cast("int"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.when(level.isNotNull(), "heading").otherwise("text").alias("type"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("text"), level.alias("level"))
+
+
+_OUTLINE = """
+b AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN CAST(turn % 3 + 1 AS INT) END AS lv, 'T' || turn AS t FROM conversations),
+x AS (SELECT x.conv_id, x.turn, (SELECT max(h.turn) FROM b h WHERE h.conv_id = x.conv_id AND h.turn <= x.turn AND h.lv IS NOT NULL) AS own FROM b x),
+y AS (SELECT x.conv_id, x.turn, o.lv AS olv, o.t AS heading, x.own FROM x LEFT JOIN b o ON o.conv_id = x.conv_id AND o.turn = x.own)"""
+
+
+@_query(f"""
+WITH {_OUTLINE}
+SELECT conv_id AS doc_id, turn AS ord, heading,
+  coalesce((SELECT string_agg(h.t, '/' ORDER BY h.turn) FROM b h WHERE h.conv_id = y.conv_id AND h.turn < y.own AND h.lv < y.olv
+    AND NOT EXISTS (SELECT 1 FROM b g WHERE g.conv_id = h.conv_id AND g.turn > h.turn AND g.turn < y.own AND g.lv <= h.lv)
+    AND NOT EXISTS (SELECT 1 FROM b g WHERE g.conv_id = h.conv_id AND g.turn > h.turn AND g.turn < y.own AND g.lv < h.lv)), '') AS path
+FROM y
+""")
+def section_paths(spark, sf_dir):
+    s = sections.section_paths(_outline(spark, sf_dir))
+    return s.select("doc_id", "ord", "heading", F.array_join("path", "/").alias("path"))
+
+
+@_query("SELECT conv_id AS doc_id, 'T' || turn AS title, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL")
+def heading_frequency(spark, sf_dir):
+    return sections.heading_frequency(_outline(spark, sf_dir))
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    return files.text_blocks(_t(spark, sf_dir, "pages"), "page_id", "html", "url", "html")
+
+
+@_query()
+def html_blocks(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "ord", "block_id", "type", "text", "level")
+
+
+@_query()
+def text_blocks(spark, sf_dir):
+    return files.text_blocks(_t(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id", "ord", "type", "text", "level")
+
+
+@_query()
+def markdown_blocks(spark, sf_dir):
+    return files.text_blocks(_t(spark, sf_dir, "documents"), "doc_id", "text", "source", "md").select("doc_id", "ord", "type", "text", "level")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'text' AS type, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
+def block_histogram(spark, sf_dir):
+    return blocks.block_histogram(files.paragraph_blocks(_t(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+
+
+@_query()
+def chunk_documents(spark, sf_dir):
+    """Chunks of all documents read as plain text."""
+    parsed = files.text_blocks(_t(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return chunking.chunk_documents(parsed, ChunkSettings())
+
+
+@_query()
+def chunk_pages(spark, sf_dir):
+    return chunking.chunk_documents(_pages(spark, sf_dir), ChunkSettings())
+
+
+@_query()
+def legacy_chunks(spark, sf_dir):
+    return chunking.chunk_documents(_pages(spark, sf_dir), ChunkSettings(), "legacy")
+
+
+@_query()
+def document_titles(spark, sf_dir):
+    return blocks.document_titles(_pages(spark, sf_dir))
+
+
+@_query()
+def documents_as_markdown(spark, sf_dir):
+    return blocks.to_markdown(_pages(spark, sf_dir))
+
+
+@_query()
+def table_of_contents(spark, sf_dir):
+    return sections.table_of_contents(_pages(spark, sf_dir))
+
+
+@_query("""
+SELECT source AS doc_id, bool_or(o) AS any_ocr, round(avg(o::INT), 6) AS ocr_ratio, count_if(o) AS n_pages FROM (
+SELECT source, n_chars < 100 AND doc_id % 10 >= 4 OR n_chars < 20 AND doc_id % 3 > 0 AS o FROM documents) GROUP BY source
+""")
+def ocr_routing(spark, sf_dir):
+    """Documents as pages of their source; image statistics come from the number."""
+    d = _t(spark, sf_dir, "documents")
+    pages = d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.col("n_chars").alias("char_count"), (F.col("doc_id") % 3).alias("image_count"), F.when(F.col("doc_id") % 10 >= 4, 0.5).otherwise(0.1).alias("image_area_ratio"))
+    return blocks.ocr_routing(pages).select("doc_id", "any_ocr", F.round("ocr_ratio", 6).alias("ocr_ratio"), F.size("ocr_pages").cast("long").alias("n_pages"))
+
+
+@_query("""
+SELECT source AS doc_id, doc_id AS ord FROM (
+  SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 12
+""")
+def figure_budget(spark, sf_dir):
+    """The largest figures of each source, a quarter of 48 pages."""
+    d = _t(spark, sf_dir, "documents")
+    side = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("n_chars").cast("double").alias("x1"), F.lit(1.0).alias("y1"))
+    figures = d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.lit("figure").alias("type"), side.alias("bbox"))
+    pages = d.select(F.col("source").alias("doc_id")).distinct().withColumn("total_pages", F.lit(48))
+    return blocks.figures_to_describe(figures, pages).select("doc_id", "ord")
+
+
+@_query()
+def column_order(spark, sf_dir):
+    """Documents laid out alternately in two columns, in the order they are read."""
+    d = _t(spark, sf_dir, "documents")
+    side, row = F.col("doc_id") % 2, F.col("doc_id").cast("double")
+    box = F.struct((side * 300.0).alias("x0"), row.alias("y0"), (side * 300.0 + 250.0).alias("x1"), (row + 1).alias("y1"))
+    b = d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.lit(1).alias("page_number"), box.alias("bbox"))
+    return blocks.reorder_columns(b).select("doc_id", "ord", "reading_ord")
+
+
+@_query()
+def transcript_checks(spark, sf_dir):
+    """Documents judged as page transcripts."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", blocks.check_page_transcript(F.col("text"), F.lit(0.02), F.lit(10)).alias("c")).select("doc_id", "c.ok", "c.reason", "c.retryable")
+
+
+@_query()
+def formula_checks(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", blocks.check_formula_transcript(F.col("text"), F.lit("formula")).alias("c")).select("doc_id", "c.ok", "c.reason")
+
+
+# --- batch and evaluation ----------------------------------------------------
+
+
+@_query("""
+WITH s AS (SELECT n_chars, toxic, quality, text FROM labels JOIN documents USING (doc_id)),
+neg AS (SELECT *, regexp_matches(text, '(?i)idiot|stupid') AS g FROM s),
+l AS (SELECT 'quality' AS metric, CAST(quality AS DOUBLE) AS v, g FROM neg UNION ALL SELECT 'toxic', toxic, g FROM neg UNION ALL SELECT 'n_chars', n_chars, g FROM neg)
+SELECT metric, count(*) AS n_examples, count_if(g) AS n_negative, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(min(v), 4) AS min, round(max(v), 4) AS max,
+       round(avg(v) FILTER (g), 4) AS mean_on_negative FROM l GROUP BY metric
+""")
+def metric_report(spark, sf_dir):
+    s = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id")
+    return evaluation.metric_report(s, ["quality", "toxic", "n_chars"], "idiot|stupid", "text")
+
+
+@_query("""
+SELECT user_id, sum(event_id % 900) AS input_tokens, sum(event_id % 400) AS cached_tokens, sum(event_id % 70) AS output_tokens,
+  round(greatest(sum(event_id % 900) - sum(event_id % 400), 0) / 1000.0 * 0.3 + sum(event_id % 400) / 1000.0 * 0.5 + sum(event_id % 70) / 1000.0 * 0.075, 6) AS cost
+FROM events GROUP BY user_id
+""")
+def usage_cost(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    calls = e.select("user_id", (F.col("event_id") % 900).alias("input_tokens"), (F.col("event_id") % 400).alias("cached_tokens"), (F.col("event_id") % 70).alias("output_tokens"))
+    return evaluation.usage_cost(calls, ["user_id"]).withColumn("cost", F.round("cost", 6))
+
+
+@_query("""
+WITH t AS (SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN [] ELSE ['a/' || conv_id, CASE WHEN conv_id % 5 = 0 THEN '../x' ELSE 'b' END] END AS ids FROM conversations)
+SELECT 'empty_doc_ids' AS rule, count(*) AS n FROM t WHERE len(ids) = 0 UNION ALL
+SELECT 'unsafe_path', count(*) FROM t WHERE turn % 2 = 1 AND conv_id % 5 = 0 UNION ALL
+SELECT 'duplicate_id', count(*) FROM (SELECT conv_id FROM t GROUP BY conv_id HAVING count(*) > 1)
+""")
+def question_violations(spark, sf_dir):
+    """Conversations as a question set: turns without documents, unsafe paths, repeated ids."""
+    c = _t(spark, sf_dir, "conversations")
+    second = F.when(F.col("conv_id") % 5 == 0, "../x").otherwise("b")
+    ids = F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a/"), F.col("conv_id").cast("string")), second))
+    q = c.select(F.concat_ws("-", "conv_id", "turn").alias("row_index"), F.col("conv_id").alias("id"), F.coalesce("text", F.lit("-")).alias("question"), F.lit("a").alias("answer"), ids.alias("doc_ids"))
+    return batch.question_violations(q).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT doc_id AS row_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume(spark, sf_dir):
+    """Documents without a label are still to be done."""
+    done = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_index"), F.lit("p").alias("parameters"))
+    todo = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"))
+    return batch.pending(todo, done, "p")
+
+
+@_query("SELECT doc_id AS row_index, 'lang' AS \"column\" FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'row' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang = '-'")
+def result_mismatches(spark, sf_dir):
+    """Rows whose results don't repeat their source."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"), "source", "lang")
+    return batch.mismatches(d, d.withColumn("lang", F.lit("en")), ["source", "lang"])
+
+
+@_query("SELECT coalesce(text, '') AS t, count(*) AS n FROM documents WHERE trim(text, ' ' || chr(10)) <> '' GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where(F.trim("text") != "")
+    return d.groupBy(F.col("text").alias("t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@_query("SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
+def benchmark_overlap(spark, sf_dir):
+    """Documents that hold a benchmark text verbatim.
+
+    Candidates share a run of three words from inside the text with a
+    document, so the containment test runs on few pairs.
+    """
+    run = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " "))
+    split = lambda df, key: df.select(key, F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).select(key, run.alias("runs"))
+    b = split(_t(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.explode(F.slice("runs", 2, 1)).alias("run"))
+    d = split(_t(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.explode(F.array_distinct("runs")).alias("run"))
+    pairs = d.join(b, "run").select("doc_id", "item_id").distinct()
+    full = pairs.join(_t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b")), "item_id").join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return full.where(F.contains("text", F.col("b"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def chunk_audit(spark, sf_dir):
+    return evaluation.findings(evaluation.chunk_audit(chunk_documents(spark, sf_dir), ChunkSettings().max_chars))
+
+
+@_query()
+def block_audit(spark, sf_dir):
+    return evaluation.findings(evaluation.block_audit(_pages(spark, sf_dir)))
+
+
+@_query()
+def coverage(spark, sf_dir):
+    """Share of source sentences found in the chunks, by language."""
+    d = _t(spark, sf_dir, "documents")
+    seen = evaluation.coverage(files.source_sentences(d, "doc_id", "text"), chunk_documents(spark, sf_dir))
+    return seen.join(d.select(F.col("doc_id").cast("string").alias("doc_id"), "lang"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("covered").cast("double")).alias("covered"))
+
+
+@_query("""
+WITH v AS (SELECT source, doc_id, toxic = 1 AS u, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM labels JOIN documents USING (doc_id)),
+p AS (SELECT *, sum(u::INT) OVER w / count(*) OVER w AS pr FROM v WINDOW w AS (PARTITION BY source ORDER BY r))
+SELECT source AS query_id, round(coalesce(sum(pr) FILTER (u) / nullif(count_if(u), 0), 0), 6) AS precision FROM p GROUP BY source
+""")
+def context_precision(spark, sf_dir):
+    v = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    verdicts = v.select(F.col("source").alias("query_id"), rank.alias("rank"), (F.col("toxic") == 1).alias("useful"))
+    return evaluation.context_precision(verdicts).withColumn("precision", F.round("precision", 6))
+
+
+@_query("""
+SELECT a.vec_id AS a, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+""")
+def neighbour_similarity(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(b, "vec_id").select(F.col("vec_id").alias("a"), F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6).alias("sim"))
+
+
+@_query()
+def dataset_fingerprint(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_index"), F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.lit("").alias("answer"), F.array(F.lit("d")).alias("doc_ids"))
+    return batch.dataset_fingerprint(b)
+
+
+class _Echo:
+    """A stand-in for a text model: the prompt's last lines."""
+
+    def generate(self, prompt: str) -> str:
+        return prompt[-200:]
+
+
+@_query()
+def answer_questions(spark, sf_dir):
+    """Questions answered end to end with a stand-in model."""
+    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("formulation"), "text")
+    c = chunk_documents(spark, sf_dir).withColumn("chunk_id", F.concat("doc_id", F.lit("/"), "chunk_id"))
+    hits = search.search(q, c.select("chunk_id", "text", "source_file", "context", "heading_path", "page_numbers", "section"))
+    return answers.answer(q, hits, _Echo()).select("query_id", F.size("contexts").alias("n_contexts"), "answer")
