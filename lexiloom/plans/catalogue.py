@@ -520,8 +520,9 @@ def benchmark_overlap(spark, sf_dir):
     Candidates share a run of three words from inside the text with a
     document, so the containment test runs on few pairs.
     """
+    # explode(array(x)) keeps the words from being split again for every run
     run = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " "))
-    split = lambda df, key: df.select(key, F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).select(key, run.alias("runs"))
+    split = lambda df, key: df.select(key, F.explode(F.array(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("w")).select(key, run.alias("runs"))
     b = split(_t(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.explode(F.slice("runs", 2, 1)).alias("run"))
     d = split(_t(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.explode(F.array_distinct("runs")).alias("run"))
     pairs = d.join(b, "run").select("doc_id", "item_id").distinct()
