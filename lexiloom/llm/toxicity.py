@@ -5,7 +5,9 @@ weighed by ``decay`` to the power of the length it spans, so ``i-d.i o t`` and
 ``idxiot`` stay close to ``idiot``.  Landmark strings are chosen from labelled
 texts, the kernel against them is turned into features by the Nystrom map
 (K_mm ** -1/2), and a linear SVM with squared hinge loss learns on these; its
-margins become probabilities by a sigmoid fitted on rows it did not see.
+margins become probabilities by a sigmoid fitted on rows it did not see.  The
+largest kernel over all landmarks is a feature of its own, so that one insult
+counts even where training texts hold several.
 
 A text is a bag of words, cut at white space and undone of inserted marks; runs
 of single characters are joined.  A text's kernel with a landmark is the
@@ -80,7 +82,7 @@ class Landmarks:
     words: list[str]
     order: int = 3
     decay: float = 0.6
-    sharpness: float = 6.0
+    sharpness: float = 5.0
     slack: tuple[int, ...] = (0, 2, 4)
     overlap: float = 0.85  # pairs with fewer common characters count as 0
 
@@ -162,6 +164,7 @@ class ToxicityModel:
     landmarks: Landmarks
     weights: np.ndarray  # on kernels: the SVM's weights times K_mm ** -1/2
     bias: float
+    best: float = 0.0  # weight of the largest kernel, whatever its landmark
     slope: float = 1.0
     shift: float = 0.0
     _known: dict = field(default_factory=dict, repr=False)
@@ -215,7 +218,7 @@ class ToxicityModel:
         return out
 
     def margins(self, kernels: np.ndarray) -> np.ndarray:
-        return kernels @ self.weights + self.bias
+        return kernels @ self.weights + self.best * kernels.max(1, initial=0) + self.bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities of label 1."""
@@ -268,7 +271,7 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float, rounds: int = 60) -> tuple[np.n
     return w[:-1], float(w[-1])
 
 
-def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a sigmoid on margins, with Platt's targets."""
     pos, neg = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -276,13 +279,17 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        w = w - np.linalg.solve(hess, x.T @ (p - target) + 1e-4 * w)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        w = w - np.linalg.solve(hess, x.T @ (weight * (p - target)) + 1e-4 * w)
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], toxic: list[int], number: int = 40, c: float = 1.0, seed: int = 5) -> ToxicityModel:
-    """Landmarks and SVM on four fifths of the rows, the sigmoid on the rest."""
+def train(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1.0), number: int = 40, c: float = 1.0, seed: int = 5) -> ToxicityModel:
+    """Landmarks and SVM on four fifths of the rows, the sigmoid on the rest.
+
+    ``rates``: shares of all rows with label 0 and 1 that were drawn; the
+    sigmoid weighs rows by them, so that scores hold for the whole.
+    """
     y = np.array(toxic, int)
     order = np.random.default_rng(seed).permutation(len(texts))
     held = order[: len(texts) // 5]
@@ -293,27 +300,29 @@ def train(texts: list[str], toxic: list[int], number: int = 40, c: float = 1.0,
     between = marks.kernel(marks.words).astype(float)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    w, bias = _svm(kernels[fit] @ root, 2.0 * y[fit] - 1, c) if len(fit) else (np.zeros(len(root)), -1.0)
-    model.weights, model.bias = root @ w, bias
+    x = np.hstack([kernels @ root, kernels.max(1, initial=0)[:, None]])
+    w, bias = _svm(x[fit], 2.0 * y[fit] - 1, c) if len(fit) else (np.zeros(len(root) + 1), -1.0)
+    model.weights, model.best, model.bias = root @ w[:-1], float(w[-1]), bias
     if 0 < y[held].sum() < len(held):
-        model.slope, model.shift = _sigmoid(model.margins(kernels[held]), y[held])
+        model.slope, model.shift = _sigmoid(model.margins(kernels[held]), y[held], 1 / np.array(rates)[y[held]])
     return model
 
 
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, **options) -> ToxicityModel:
-    """Train on about ``max_rows`` rows of ``labels``, drawn by a hash of the id, and their texts.
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = 4000, **options) -> ToxicityModel:
+    """Train on about ``rows_per_label`` rows with either label, drawn by a hash of the id, and their texts.
 
     Only the drawn labels are joined to the texts, so that side is bounded and
     may be broadcast.  Of rows that repeat an id, all count.
     """
-    known = labels.select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("_y")).where("_k is not null and _y is not null")
-    n = known.count()
+    known = labels.select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("_y")).where("_k is not null and _y in (0, 1)")
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    rates = tuple(min(1.0, rows_per_label / max(1, counts.get(y, 0))) for y in (0, 1))
     draw = F.pmod(F.xxhash64(F.lit(23), F.col("_k").cast("string")), F.lit(1_000_000))
-    sample = F.broadcast(known.where(draw < int(1_000_000 * min(1.0, max_rows / max(1, n)))))
+    sample = F.broadcast(known.where(draw < F.when(F.col("_y") == 1, int(1_000_000 * rates[1])).otherwise(int(1_000_000 * rates[0]))))
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("t"))
     found = texts.join(sample, F.col("_id") == F.col("_k")).select("t", "_y", "_k").collect()
     found.sort(key=lambda r: (str(r["_k"]), r["_y"], r["t"]))
-    return train([r["t"] for r in found], [r["_y"] for r in found], **options)
+    return train([r["t"] for r in found], [r["_y"] for r in found], rates, **options)
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
