@@ -44,7 +44,7 @@ def format_cell(c: Column, kind: str) -> Column:
         s = F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm"))
     else:
         s = c.cast("string")
-    s = F.replace(F.coalesce(s, F.lit("")), F.lit("|"), F.lit("\\|"))
+    s = F.replace(F.when(c.isNull(), "").otherwise(s), F.lit("|"), F.lit("\\|"))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
@@ -81,5 +81,5 @@ def list_to_markdown(items: Column) -> Column:
 def markdown_rows(text: Column) -> Column:
     """Cells of a Markdown table's rows; rule rows and empty rows are left out."""
     lines = F.filter(F.split(text, "\n", -1), lambda s: F.contains(s, F.lit("|")))
-    cells = F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|", -1), F.trim))
+    cells = F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.trim(s), r"^\||\|$", ""), r"\|", -1), lambda v: F.trim(v)))
     return F.filter(cells, lambda r: F.exists(r, lambda v: v != "") & F.exists(r, lambda v: ~v.rlike("^:?-+:?$") & (v != "")))
