@@ -77,6 +77,11 @@ def normalize_for_search(c: Column) -> Column:
     return F.array_join(tokens(c), " ")
 
 
+def lemmatised(words: Column, lemmas: Column) -> Column:
+    """Tokens with the lemma that a map column has for them; others stay."""
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(lemmas, w), w))
+
+
 def comparison_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\W_]+", " "))
 

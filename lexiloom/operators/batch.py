@@ -132,3 +132,14 @@ def adjacent_duplicates(rows: DataFrame, group: str, order: str, columns: list[s
     w = Window.partitionBy(group).orderBy(order)
     same = F.struct(*columns).eqNullSafe(F.lag(F.struct(*columns)).over(w))
     return rows.withColumn("_same", same).where("_same").drop("_same")
+
+
+def upload_fingerprint(files: DataFrame) -> DataFrame:
+    """``sha256`` over names and contents of files (ord, name, content) in order."""
+    each = F.struct("ord", F.sha2(F.concat(F.encode("name", "utf-8"), F.lit(b"\x00"), F.col("content")), 256).alias("d"))
+    return files.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["d"]), ""), 256).alias("sha256"))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn by a hash of their key: the same rows at every run."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)

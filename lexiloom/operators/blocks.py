@@ -240,8 +240,8 @@ def slide_titles(shapes: DataFrame, slide_height: int, top_share: float = 0.45,
     return fits.groupBy("doc_id", "slide").agg(best.alias("b")).select("doc_id", "slide", F.col("b.title").alias("title"))
 
 
-def to_markdown(blocks: DataFrame) -> DataFrame:
-    """``doc_id, markdown`` of whole documents."""
+def to_markdown(blocks: DataFrame, toc: bool = False) -> DataFrame:
+    """``doc_id, markdown`` of whole documents, under a list of their headings if ``toc``."""
     text = strip(F.col("text"))
     level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1))))
     md = (
@@ -251,7 +251,11 @@ def to_markdown(blocks: DataFrame) -> DataFrame:
         .otherwise(text)
     )
     parts = F.sort_array(F.collect_list(F.when(text != "", F.struct("ord", md.alias("md")))))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["md"]), "\n\n").alias("markdown"))
+    body = F.array_join(F.transform(parts, lambda x: x["md"]), "\n\n")
+    entry = F.concat(F.repeat(F.lit("  "), level - 1), F.lit("- "), text)
+    listed = F.sort_array(F.collect_list(F.when((F.col("type") == "heading") & (text != ""), F.struct("ord", entry.alias("e")))))
+    head = F.array_join(F.transform(listed, lambda x: x["e"]), "\n")
+    return blocks.groupBy("doc_id").agg((F.concat_ws("\n\n", F.nullif(head, F.lit("")), body) if toc else body).alias("markdown"))
 
 
 def to_json(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import html, markdown, office, plain
@@ -95,6 +95,16 @@ def match_documents(records: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(found, "_nfc", "left").select("id", "pos", "doc_id", F.when(F.col("matches") == 1, F.col("path")).alias("path"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """A question set (Parquet or JSON lines) with ``row_index`` in file order."""
+    rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
+    order = Window.orderBy("_n")
+    if "row_index" in rows.columns:
+        return rows
+    # a question set is small enough to be numbered by one task
+    return rows.withColumn("_n", F.monotonically_increasing_id()).withColumn("row_index", F.row_number().over(order) - 1).drop("_n")
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """A run file: ``id, question, answer_model, contexts, answer``; contexts become texts."""
     if not path.endswith(".parquet"):
