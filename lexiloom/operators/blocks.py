@@ -25,6 +25,7 @@ PROSE = (
     r"на (изображени|рисунке|картинке)|(это|здесь) (изображ|формула|показан)|"
     r"i see\b|изображена?\b)"
 )
+OPEN_HEADING = r"(?iU)[,(\-–—:;/]\s*$|\b(и|или|the|of|and|for|по|для|в|на|с)\s*$"
 MATH = r"[\\^_={}∑∫±≤≥×÷·√∞→αβγδθλμπσφω]|\d\s*[+\-*/=]\s*\d"
 TEXT_INK, MIN_LINES, CHARS_PER_LINE, SHORT_SHARE = 0.015, 8, 30, 0.3
 MAX_REPEATED_LINES, MAX_REPEATS, MAX_BRACES, MAX_TRANSCRIPT = 4, 6, 6, 2000
@@ -71,15 +72,19 @@ def reorder_columns(blocks: DataFrame) -> DataFrame:
 
 
 def merge_adjacent(blocks: DataFrame) -> DataFrame:
-    """Neighbouring list items of one group, and inline fragments of one paragraph, become one block.
+    """Neighbouring list items of one group, inline fragments of one paragraph, and the lines of a heading that was cut become one block.
 
     ``group_id`` is the group an item came from; null groups merge only lists.
+    A heading goes on if its first line ends in a mark or a word that can't end
+    it, or the next begins in lower case or with a closing mark.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     was = lambda c: F.lag(c).over(order)
     same = (F.col("type") == was("type")) & F.coalesce(F.col("page_number") == was("page_number"), F.lit(True))
     group = F.col("group_id").eqNullSafe(was("group_id"))
-    joins = same & group & ((F.col("type") == "list") | ((F.col("type") == "text") & F.col("group_id").isNotNull()))
+    goes_on = was("text").rlike(OPEN_HEADING) | F.col("text").rlike(r"^[\p{Ll})»,;]")
+    pieces = (F.col("type") == "list") | ((F.col("type") == "text") & F.col("group_id").isNotNull())
+    joins = same & ((group & pieces) | ((F.col("type") == "heading") & goes_on))
     run = F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     b = blocks.withColumn("text", repair_hyphenation(F.col("text"))).withColumn("_run", run)
     parts = F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])

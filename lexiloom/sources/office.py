@@ -307,6 +307,19 @@ def _regions(grid: list[list[str]]) -> list[list[list[str]]]:
     return [r for r in out if r]
 
 
+def _rejoined(regions: list[list[list[str]]]) -> list[list[list[str]]]:
+    """Regions in which a table that a blank row parted is whole again: data rows as wide as the table before them."""
+    out: list[list[list[str]]] = []
+    for region in regions:
+        first = [v for v in region[0] if v]
+        data = sum(map(_is_number, first)) >= 0.5 * len(first)
+        if out and data and len(out[-1]) > 1 and sum(map(bool, out[-1][0])) == len(first):
+            out[-1] = out[-1] + region
+        else:
+            out.append(region)
+    return out
+
+
 def _is_number(v: str) -> bool:
     return bool(re.match(r"[+-]?[\d\s ]+([.,]\d+)?$", v))
 
@@ -332,7 +345,7 @@ def parse_xlsx(data: bytes, profile: str = "structured") -> list[Parsed]:
         out.append(("text", "\n".join(f"{n}: {sum(map(any, g))} rows" for n, g in sheets), None, {"overview": True}))
     for name, grid in sheets:
         out.append(("heading", name, 1, {"sheet": name}))
-        for region in _regions(grid):
+        for region in _rejoined(_regions(grid)):
             distinct = [list(dict.fromkeys(v for v in r if v)) for r in region]
             if len(region) <= NOTE_ROWS and all(len(d) == 1 and len(d[0]) >= NOTE_CHARS for d in distinct):
                 out.append(("text", "\n".join(d[0] for d in distinct), None, {"sheet": name}))

@@ -22,6 +22,8 @@ def test_merge_and_titles(spark):
     df = spark.createDataFrame(rows, f"doc_id int, ord int, type string, text string, page_number int, bbox {BOX}, group_id string")
     out = blocks.merge_adjacent(df).orderBy("ord").collect()
     assert [r.text for r in out] == ["Contents", "Real title", "- a\n- b", "see (x).", "alone"]
+    cut = spark.createDataFrame([(1, 0, "heading", "Models (group", 1, None, None), (1, 1, "heading", "states) of", 1, None, None), (1, 2, "heading", "Matter", 1, None, None), (1, 3, "heading", "Next", 1, None, None)], df.schema)
+    assert [r.text for r in blocks.merge_adjacent(cut).orderBy("ord").collect()] == ["Models (group states) of Matter", "Next"]
     assert blocks.document_titles(df).first().title == "Real title"
     assert blocks.heading_titles(df).first().title == "Contents"
     assert blocks.stamp_blocks(df.withColumn("has_image", F.lit(False))).orderBy("ord").first().block_id == "block-1"

@@ -111,6 +111,8 @@ def test_xlsx():
     assert [b[0] for b in out] == ["heading", "table", "text", "text", "table"]
     assert out[1][1] == "| Name | Age |\n| --- | --- |\n| Ann | 30 |\n| Bob | 41 |\n| Cy | 25.5 |"
     assert "Age: min 25.50 (Cy); max 41 (Bob)" in out[2][1] and out[3][1].startswith("A note")
+    parted = [["k", "v"], ["x", "1"], ["", ""], ["2", "3"], ["", ""], ["other", "head"]]
+    assert [len(r) for r in office._rejoined(office._regions(parted))] == [3, 1]
     assert office._date_text(45000.5) == "2023-03-15 12:00" and office._date_text(45000) == "2023-03-15"
 
 
