@@ -32,6 +32,11 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _ascii_lower(key: Column) -> Column:
+    """A-Z lowered and nothing else; for text of ASCII alone the faster ``lower`` does that."""
+    return F.when(F.length(key) == F.octet_length(key), F.lower(key)).otherwise(F.translate(key, _UPPER, _LOWER))
+
+
 def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole_text(text_col)
     return docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(F.lit(11), text).alias("_rid"))
@@ -42,11 +47,10 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     lines = F.transform(split_lines(F.col("_text")), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(_STRIP)).alias("key")))
     long_ones = F.filter(lines, lambda x: F.length(x["key"]) >= min_chars)
 
-    def hashed(x: Column) -> Column:
-        key = F.translate(x["key"], _UPPER, _LOWER)
-        return F.struct(x["pos"].alias("pos"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
-
-    return _document(docs, id_col, text_col).where(F.length("_text") >= min_chars).select("_id", "_rid", F.transform(long_ones, hashed).alias("_keys"))
+    # each step is a transform of its own, so that a key is lowered once for both hashes
+    lowered = F.transform(long_ones, lambda x: F.struct(x["pos"].alias("pos"), _ascii_lower(x["key"]).alias("key")))
+    hashed = F.transform(lowered, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(7), x["key"]).alias("h2")))
+    return _document(docs, id_col, text_col).where(F.length("_text") >= min_chars).select("_id", "_rid", hashed.alias("_keys"))
 
 
 def repeated_keys(hashes: DataFrame, min_docs: int, salts: int = 16) -> DataFrame:
