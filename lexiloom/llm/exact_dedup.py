@@ -63,7 +63,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; columns other than the two named are not read.
     """
     rows = checkpoint(digest_runs(docs, id_col, text_col))
-    groups = merge_runs(rows, max(1, rows.rdd.getNumPartitions()), keep, fan_in_bits)
+    last = rows.agg(F.max("_run")).first()[0]
+    groups = merge_runs(rows, (last or 0) + 1, keep, fan_in_bits)
     return rows.drop("_run").join(groups, _KEY).select(
         F.col("_id").alias("doc_id"),
         F.col("_keep._id").alias("keep_id"),
