@@ -6,13 +6,15 @@ weighed by ``decay`` to the power of the length it spans, so ``i-d.i o t`` and
 texts, the kernel against them is turned into features by the Nystrom map
 (K_mm ** -1/2), and a linear SVM with squared hinge loss learns on these; its
 margins become probabilities by a sigmoid fitted on rows it did not see.  The
-largest kernel over all landmarks is a feature of its own, so that one insult
-counts even where training texts hold several.
+largest kernel over all landmarks, as far as it exceeds what clean texts reach
+with the same landmark, is a feature of its own, so that one insult counts even
+where training texts hold several.  Clean texts with one landmark written with
+inserted, doubled or missing letters are trained on beside the labelled ones.
 
 A text is a bag of words, cut at white space and undone of inserted marks; runs
 of single characters are joined.  A text's kernel with a landmark is the
-largest over its words, raised to ``sharpness``.  Words are scored once for
-each worker and cached.
+largest over windows from the beginnings of its words.  Words are scored once
+for each worker and cached.
 """
 
 from __future__ import annotations
@@ -31,31 +33,38 @@ from ._common import whole_text
 
 WINDOW = 24
 _CACHE = 200_000
+_PIECE, _BLOCK = 4096, 1 << 18  # characters looked at together
 #: Characters commonly written for letters.
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
-def _pairs_kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarray:
-    """Subsequence kernels of ``order`` for pairs of rows of codes (0 pads)."""
+def _pairs_kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float, beginnings: bool = False) -> np.ndarray:
+    """Subsequence kernels of ``order`` for pairs of rows of codes (0 pads).
+
+    With ``beginnings``, those of all beginnings of the two, in the first two axes.
+    """
     n, la = a.shape
     lb = b.shape[1]
     below = np.ones((la + 1, lb + 1, n), np.float32)
-    total = np.zeros(n, np.float32)
+    total = np.zeros((la, lb, n) if beginnings else n, np.float32)
     ta, tb = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for level in range(order):
         here = np.zeros((la + 1, lb + 1, n), np.float32)
         for i in range(la):
             hits = np.where((tb == ta[i]) & (tb > 0), below[i, :-1], 0) * np.float32(decay * decay)
             if level == order - 1:
-                total += hits.sum(0)
+                if beginnings:
+                    total[i] = hits
+                else:
+                    total += hits.sum(0)
                 continue
             run = np.zeros(n, np.float32)
             for j in range(lb):
                 run = np.float32(decay) * run + hits[j]
                 here[i + 1, j + 1] = np.float32(decay) * here[i, j + 1] + run
         below = here
-    return total
+    return total.cumsum(0).cumsum(1) if beginnings else total
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -65,65 +74,75 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _bags(codes: np.ndarray) -> np.ndarray:
-    """Counts of characters, hashed to 32 cells."""
-    cells = np.where(codes > 0, codes % 32, 32) + 33 * np.arange(len(codes))[:, None]
-    return np.bincount(cells.ravel(), minlength=33 * len(codes)).reshape(-1, 33)[:, :32].astype(np.int8)
-
-
 @dataclass
 class Landmarks:
-    """Strings that begin with ``^``; those of whole words end with ``$``.
+    """Strings; ``^`` and ``$`` stand for a word's borders.
 
-    A word is compared in windows from its beginning, as long as the landmark
-    and up to ``slack`` characters longer; the best counts.
+    A word is compared in windows from its beginning, of every width up to one
+    more letter in each gap of the landmark (four more at least); the best
+    counts.  Windows that lack more than one letter in five of the landmark
+    (one at least), in its order, count as 0.
     """
 
     words: list[str]
     order: int = 3
-    decay: float = 0.6
-    sharpness: float = 5.0
-    slack: tuple[int, ...] = (0, 2, 4)
-    overlap: float = 0.85  # pairs with fewer common characters count as 0
+    decay: float = 0.97
 
     def __post_init__(self):
-        self.codes = _codes(self.words, max(map(len, self.words), default=1))
-        self.sizes = np.array([len(w) for w in self.words], int)
-        self.own = _pairs_kernel(self.codes, self.codes, self.order, self.decay)
-        self.bags = _bags(self.codes)
+        self.cores = [w.strip("^$") for w in self.words]
+        self.spans = [max(2 * len(c) - 1, len(c) + 4) for c in self.cores]
+        codes = _codes(self.words, max(map(len, self.words), default=1))
+        self.own = _pairs_kernel(codes, codes, self.order, self.decay)
 
     def kernel(self, marked: list[str]) -> np.ndarray:
-        """Normalised, sharpened kernels of ``^word$`` strings: words x landmarks."""
+        """Normalised kernels of ``^word$`` strings: words x landmarks."""
         out = np.zeros((len(marked), len(self.words)), np.float32)
-        widest = int(self.sizes.max()) + self.slack[-1]
-        for at in range(0, len(marked), 8192):
-            codes = _codes(marked[at : at + 8192], widest)
-            lengths = (codes > 0).sum(1)
-            words, marks = [], []
-            for size in np.unique(self.sizes):
-                of = np.flatnonzero(self.sizes == size)
-                bags = _bags(codes[:, : size + self.slack[-1]])
-                for j in of:
-                    common = np.minimum(bags, self.bags[j]).sum(1, dtype=np.int16)
-                    found = np.flatnonzero(common >= max(self.order, self.overlap * size))
-                    words.append(found)
-                    marks.append(np.full(len(found), j))
-            pairs = np.concatenate(words), np.concatenate(marks)
-            for cut in range(0, len(pairs[0]), 8192):
-                i, j = pairs[0][cut : cut + 8192], pairs[1][cut : cut + 8192]
-                rows = [(i, j, np.minimum(self.sizes[j] + self.slack[0], lengths[i]))]
-                for less, more in zip(self.slack, self.slack[1:]):
-                    longer = lengths[i] > self.sizes[j] + less
-                    rows.append((i[longer], j[longer], np.minimum(self.sizes[j] + more, lengths[i])[longer]))
-                i, j, width = (np.concatenate(x) for x in zip(*rows, strict=True))
-                _, first, back = np.unique(i * 64 + width, return_index=True, return_inverse=True)
-                cutoff = np.arange(widest) < width[first][:, None]
-                windows_ = np.where(cutoff, codes[i[first]], 0)
-                own = _pairs_kernel(windows_, windows_, self.order, self.decay)[back]
-                k = _pairs_kernel(windows_[back], self.codes[j], self.order, self.decay)
-                np.maximum.at(out, (at + i, j), (k / np.maximum(np.sqrt(own * self.own[j]), 1e-12)) ** self.sharpness)
+        gap = max(self.spans) + 2
+        ends = np.cumsum([len(w) + gap for w in marked])
+        table = np.zeros(0x110000, np.uint32)
+        at = 0
+        while at < len(marked):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK, "right")))
+            text = "".join("\0" * gap + w for w in marked[at:to]) + "\0" * gap
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+            begins = np.cumsum([0, *(len(w) + gap for w in marked[at : to - 1])])
+            for j in range(len(self.words)):
+                starts = self._alike(codes, j, table)
+                for cut in range(0, len(starts), 4096):
+                    some = starts[cut : cut + 4096]
+                    owner = at + np.searchsorted(begins, some, "right") - 1
+                    np.maximum.at(out, (owner, j), self._windows(codes, some, j))
+            at = to
         return out
 
+    def _alike(self, codes: np.ndarray, j: int, table: np.ndarray) -> np.ndarray:
+        """Positions whose windows hold enough of a landmark's letters in order, by bitwise longest common subsequence."""
+        core = self.cores[j]
+        lacking = max(1, len(core) // 5)
+        for k, c in enumerate(core):
+            table[ord(c)] |= 1 << k
+        bits = table[codes]
+        for c in core:
+            table[ord(c)] = 0
+        starts = np.flatnonzero(bits & np.uint32((2 << lacking) - 1))
+        left = np.full(len(starts), (1 << len(core)) - 1, np.uint32)
+        for i in range(self.spans[j]):
+            hit = left & bits[starts + i]
+            left = (left + hit) | (left - hit)
+        found = starts[np.bitwise_count(left & np.uint32((1 << len(core)) - 1)) <= lacking]
+        return found[codes[found - 1] == ord("^")]
+
+    def _windows(self, codes: np.ndarray, starts: np.ndarray, j: int) -> np.ndarray:
+        """The best kernel of the windows that begin at each of ``starts``."""
+        mark = self.words[j].startswith("^")
+        windows = codes[starts[:, None] + np.arange(-mark, self.spans[j] + self.words[j].endswith("$"))]
+        if mark:
+            windows[windows[:, 0] != ord("^"), 0] = 0
+        landmark = np.broadcast_to(np.array([ord(c) for c in self.words[j]], np.int32), (len(starts), len(self.words[j])))
+        k = _pairs_kernel(windows, landmark, self.order, self.decay, True)[:, -1]
+        own = np.diagonal(_pairs_kernel(windows, windows, self.order, self.decay, True)).T
+        return (k / np.sqrt(np.maximum(own * self.own[j], 1e-12))).max(0)
+
 
 def spellings(chunk: str) -> set[str]:
     """What a stretch without white space may be meant as: letters only, its parts, look-alikes undone."""
@@ -137,10 +156,10 @@ def spellings(chunk: str) -> set[str]:
     return {x for x in found if x}
 
 
-def windows(word: str) -> list[str]:
-    """A word with its borders marked; a long one also from every few places on."""
+def pieces(word: str) -> list[str]:
+    """A word with its borders marked; a very long one in pieces that overlap by more than any window."""
     marked = f"^{word}$"
-    return [marked, *("^" + marked[i : i + WINDOW] for i in range(WINDOW // 2, len(marked) - WINDOW // 2, WINDOW // 2))]
+    return [marked[i : i + _PIECE + 2 * WINDOW + 2] for i in range(0, len(marked), _PIECE)]
 
 
 def chunks(text: str) -> list[str]:
@@ -164,7 +183,8 @@ class ToxicityModel:
     landmarks: Landmarks
     weights: np.ndarray  # on kernels: the SVM's weights times K_mm ** -1/2
     bias: float
-    best: float = 0.0  # weight of the largest kernel, whatever its landmark
+    best: float = 0.0  # weight of the largest excess over ``usual``, whatever its landmark
+    usual: np.ndarray | float = 0.0  # what hardly any clean text's kernel exceeds, by landmark
     slope: float = 1.0
     shift: float = 0.0
     _known: dict = field(default_factory=dict, repr=False)
@@ -177,7 +197,7 @@ class ToxicityModel:
         words, owner = [], []
         for n, chunk in enumerate(new):
             for s in spellings(chunk):
-                for w in windows(s):
+                for w in pieces(s):
                     words.append(w)
                     owner.append(n)
         out = np.zeros((len(new), len(self.landmarks.words)), np.float32)
@@ -218,7 +238,11 @@ class ToxicityModel:
         return out
 
     def margins(self, kernels: np.ndarray) -> np.ndarray:
-        return kernels @ self.weights + self.best * kernels.max(1, initial=0) + self.bias
+        return kernels @ self.weights + self.best * self.excess(kernels) + self.bias
+
+    def excess(self, kernels: np.ndarray) -> np.ndarray:
+        """The largest part of the way from a landmark's usual kernel to 1, to a power that lifts small ones: changed spellings stay far below 1."""
+        return ((kernels - self.usual) / (1 - self.usual)).max(1, initial=0) ** 0.2
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities of label 1."""
@@ -249,12 +273,29 @@ def choose_landmarks(texts: list[str], labels: np.ndarray, number: int, shortest
         stem = x.rstrip("$")
         if any(stem.startswith(y.rstrip("$")) or y.startswith(stem) for y in chosen):
             continue
-        if chosen and Landmarks(chosen, sharpness=1).kernel([x]).max() > 0.8:
+        if chosen and Landmarks(chosen).kernel([x]).max() > 0.8:
             continue
         chosen.append(x)
     return chosen or ["^none$"]
 
 
+def changed(core: str, rng: np.random.Generator) -> list[str]:
+    """Ways to write a landmark: as it is, with letters inserted, doubled or left out."""
+
+    def letter() -> str:
+        return chr(97 + int(rng.integers(26)))
+
+    def inserted(n: int) -> str:
+        places = {int(p) for p in rng.choice(np.arange(1, len(core)), n, replace=False)}
+        return "".join(letter() + c if i in places else c for i, c in enumerate(core))
+
+    p = int(rng.integers(1, len(core)))
+    out = [core, inserted(1), core[:p] + core[p - 1 :], "".join(c + letter() for c in core[:-1]) + core[-1]]
+    if len(core) > 4:
+        out += [inserted(2), core[:p] + core[p + 1 :]]
+    return out
+
+
 def _svm(x: np.ndarray, y: np.ndarray, c: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps; y is -1 or 1."""
     xb = np.hstack([x, np.ones((len(x), 1))])
@@ -297,14 +338,30 @@ def train(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0,
     model = ToxicityModel(Landmarks(choose_landmarks([texts[i] for i in fit], y[fit], number)), np.zeros(0), 0.0)
     marks = model.landmarks
     kernels = model.kernels(texts)
+    clean = kernels[fit][y[fit] == 0]
+    model.usual = np.minimum(np.quantile(clean, 0.999, axis=0), 0.95) if len(clean) else np.zeros(len(marks.words))
     between = marks.kernel(marks.words).astype(float)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    x = np.hstack([kernels @ root, kernels.max(1, initial=0)[:, None]])
-    w, bias = _svm(x[fit], 2.0 * y[fit] - 1, c) if len(fit) else (np.zeros(len(root) + 1), -1.0)
+
+    def with_changed(rows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Kernels and labels of ``rows``, and of clean ones with a changed landmark each, as many as toxic ones."""
+        rng = np.random.default_rng(seed)
+        plain, n = rows[y[rows] == 0], int(y[rows].sum())
+        if not len(plain) or not n:
+            return kernels[rows], y[rows]
+        words = [f"^{w}$" for x in marks.words if x.endswith("$") for _ in range(-(-n // len(marks.words) // 4)) for w in changed(x.strip("^$"), rng)] or [f"^{x.strip('^$')}$" for x in marks.words]
+        words = [words[i] for i in rng.permutation(len(words))[:n]]
+        more = np.maximum(kernels[rng.choice(plain, len(words))], marks.kernel(words))
+        return np.vstack([kernels[rows], more]), np.append(y[rows], np.ones(len(words), int))
+
+    known, truth = with_changed(fit, seed + 1)
+    x = np.hstack([known @ root, model.excess(known)[:, None]])
+    w, bias = _svm(x, 2.0 * truth - 1, c) if len(fit) else (np.zeros(len(root) + 1), -1.0)
     model.weights, model.best, model.bias = root @ w[:-1], float(w[-1]), bias
     if 0 < y[held].sum() < len(held):
-        model.slope, model.shift = _sigmoid(model.margins(kernels[held]), y[held], 1 / np.array(rates)[y[held]])
+        known, truth = with_changed(held, seed + 2)
+        model.slope, model.shift = _sigmoid(model.margins(known), truth, 1 / np.array(rates)[truth])
     return model
 
 
