@@ -9,11 +9,12 @@ margins become probabilities by a sigmoid fitted on rows it did not see.  The
 largest kernel over all landmarks, as far as it exceeds what clean texts reach
 with the same landmark, is a feature of its own, so that one insult counts even
 where training texts hold several.  Clean texts with one landmark written with
-inserted, doubled or missing letters are trained on beside the labelled ones.
+inserted, doubled or missing letters, or inside other letters, are trained on
+beside the labelled ones.
 
 A text is a bag of words, cut at white space and undone of inserted marks; runs
 of single characters are joined.  A text's kernel with a landmark is the
-largest over windows from the beginnings of its words.  Words are scored once
+largest over windows from every position of its words.  Words are scored once
 for each worker and cached.
 """
 
@@ -33,7 +34,7 @@ from ._common import whole_text
 
 WINDOW = 24
 _CACHE = 200_000
-_PIECE, _BLOCK = 4096, 1 << 18  # characters looked at together
+_PIECE, _BLOCK = 4096, 1 << 21  # characters looked at together
 #: Characters commonly written for letters.
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -78,7 +79,7 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 class Landmarks:
     """Strings; ``^`` and ``$`` stand for a word's borders.
 
-    A word is compared in windows from its beginning, of every width up to one
+    A word is compared in windows from every position, of every width up to one
     more letter in each gap of the landmark (four more at least); the best
     counts.  Windows that lack more than one letter in five of the landmark
     (one at least), in its order, count as 0.
@@ -129,8 +130,7 @@ class Landmarks:
         for i in range(self.spans[j]):
             hit = left & bits[starts + i]
             left = (left + hit) | (left - hit)
-        found = starts[np.bitwise_count(left & np.uint32((1 << len(core)) - 1)) <= lacking]
-        return found[codes[found - 1] == ord("^")]
+        return starts[np.bitwise_count(left & np.uint32((1 << len(core)) - 1)) <= lacking]
 
     def _windows(self, codes: np.ndarray, starts: np.ndarray, j: int) -> np.ndarray:
         """The best kernel of the windows that begin at each of ``starts``."""
@@ -219,8 +219,8 @@ class ToxicityModel:
     def kernels(self, texts: list[str]) -> np.ndarray:
         """Each text's kernels with the landmarks."""
         out = np.zeros((len(texts), len(self.landmarks.words)), np.float32)
-        for at in range(0, len(texts), 256):
-            split = [chunks(t) for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 1024):
+            split = [chunks(t) for t in texts[at : at + 1024]]
             if len(self._known) > 2 * _CACHE:
                 self._known.clear()
                 self._rows.clear()
@@ -276,11 +276,12 @@ def choose_landmarks(texts: list[str], labels: np.ndarray, number: int, shortest
         if chosen and Landmarks(chosen).kernel([x]).max() > 0.8:
             continue
         chosen.append(x)
-    return chosen or ["^none$"]
+    # words are also looked for inside others
+    return [*chosen, *(x.strip("^$") for x in chosen if x.endswith("$"))] or ["^none$"]
 
 
 def changed(core: str, rng: np.random.Generator) -> list[str]:
-    """Ways to write a landmark: as it is, with letters inserted, doubled or left out."""
+    """Ways to write a landmark: as it is, with letters inserted, doubled or left out, and inside other letters."""
 
     def letter() -> str:
         return chr(97 + int(rng.integers(26)))
@@ -290,7 +291,8 @@ def changed(core: str, rng: np.random.Generator) -> list[str]:
         return "".join(letter() + c if i in places else c for i, c in enumerate(core))
 
     p = int(rng.integers(1, len(core)))
-    out = [core, inserted(1), core[:p] + core[p - 1 :], "".join(c + letter() for c in core[:-1]) + core[-1]]
+    around = "".join(letter() for _ in range(4)) + core + "".join(letter() for _ in range(4))
+    out = [core, inserted(1), core[:p] + core[p - 1 :], "".join(c + letter() for c in core[:-1]) + core[-1], around, around[4:], around[:-4]]
     if len(core) > 4:
         out += [inserted(2), core[:p] + core[p + 1 :]]
     return out

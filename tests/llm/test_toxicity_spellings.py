@@ -22,3 +22,12 @@ def test_one_changed_insult_in_a_clean_text(model):
     rows = toxic_rows()[500:]
     score, truth = model.scores([t for _, t, _ in rows]), np.array([y for _, _, y in rows])
     assert (score[truth == 0] < 0.5).mean() > 0.97
+
+
+def test_an_insult_at_every_offset_of_a_stretch(model):
+    odd = ["vu" * (i // 2) + "v" * (i % 2) + "nitwit" + "uv" * 8 for i in range(0, 49, 1)]
+    odd += ["younitwit", "supernitwit", "blockheadvuv", "vuvnitwqituvu", " ".join("scoundrelvuvnitwit"), "vu" * 5000 + "nitwit" + "vu" * 5000]
+    assert dict(zip(odd, model.scores([CLEAN.format(w) for w in odd]) > 0.5, strict=True)) == dict.fromkeys(odd, True)
+    assert (model.scores([CLEAN.format(w) for w in ("vu" * 30, "v" * 40)]) < 0.5).all()
+    both = model.kernels(["b l o c k h e a d n i t w i t"])[0]
+    assert {m.strip("^$") for m, k in zip(model.landmarks.words, both, strict=True) if k > 0.99} >= {"blockhead", "nitwit"}
