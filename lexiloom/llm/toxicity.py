@@ -21,8 +21,9 @@ for each worker and cached.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -249,37 +250,100 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(self.kernels(texts)) + self.shift, -50, 50)))
 
 
-def choose_landmarks(texts: list[str], labels: np.ndarray, number: int, shortest: int = 4, least: float = 12.0) -> list[str]:
-    """Words and word beginnings that tell toxic texts apart, by the G statistic, none much like another."""
+def without_copies(texts: list[str], labels: np.ndarray, sketch: int = 16) -> list[int]:
+    """One of each group of texts with one label that share half of their smallest word-triple hashes."""
+    keep, groups = [], {}
+    for i, (text, y) in enumerate(zip(texts, labels, strict=True)):
+        words = text.lower().split()
+        triples = {zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))}
+        smallest = [(int(y), h) for h in sorted(triples)[:sketch]]
+        seen = Counter(g for h in smallest for g in groups.get(h, ()))
+        if seen and 2 * seen.most_common(1)[0][1] >= len(smallest):
+            continue
+        for h in smallest:
+            groups.setdefault(h, []).append(i)
+        keep.append(i)
+    return keep
 
-    def strings(text: str) -> set[str]:
-        words = {w for c in chunks(text) for w in spellings(c) if shortest <= len(w) <= WINDOW}
-        return {f"^{w}$" for w in words} | {"^" + w[:k] for w in words for k in range(shortest, min(len(w), 12) + 1)}
 
-    toxic = Counter(x for t, y in zip(texts, labels, strict=True) if y for x in strings(t))
-    toxic = {x: c for x, c in toxic.items() if c >= 4}
-    clean = Counter(x for t, y in zip(texts, labels, strict=True) if not y for x in strings(t) if x in toxic)
-    n, pos = len(texts), max(1, int(labels.sum()))
+def choose_landmarks(texts: list[str], labels: np.ndarray, shortest: int = 4, least: float = 12.0) -> list[str]:
+    """Words and word beginnings that tell toxic texts apart, by the G statistic.
+
+    ``least`` is the smallest G that counts; it rises with the logarithm of the
+    number of candidates, so that chance finds none among many.  Copies and near
+    copies with one label count once.  A candidate much like a chosen one must
+    reach it again on the texts that lack that one.
+    Beginnings have ``shortest`` to 12 letters; longer ones add nothing that
+    their own beginnings lack.
+    """
+    one_each = without_copies(texts, labels)
+    texts, labels = [texts[i] for i in one_each], np.asarray(labels)[one_each]
+    n, pos = len(texts), int(labels.sum())
+    if not 0 < pos < n:
+        return ["^none$"]
+    enough = least / np.log(n / pos)  # toxic texts that a string needs, were it in no other
+
+    def words(text: str) -> set[str]:
+        return {w for c in chunks(text) for w in spellings(c) if shortest - 1 <= len(w) <= WINDOW}
 
-    def gain(x: str) -> float:
-        a, b = toxic[x], clean[x]
+    def strings(text: str) -> set[str]:
+        found = set()
+        for w in words(text):
+            if len(w) < shortest:
+                found.add(f"^{w}$")
+            elif w[:shortest] in roots:
+                found.add(f"^{w}$")
+                found |= {"^" + w[:k] for k in range(shortest, min(len(w), 12) + 1)}
+        return found
+
+    roots: set[str] = set()
+    first = Counter(x for t, y in zip(texts, labels, strict=True) if y for x in {w[:shortest] for w in words(t) if len(w) >= shortest})
+    roots = {x for x, c in first.items() if c >= enough}
+    toxic = Counter(x for t, y in zip(texts, labels, strict=True) if y for x in strings(t))
+    toxic = {x: c for x, c in toxic.items() if c >= enough}
+    inside = dict.fromkeys(toxic, 0)  # bit sets of texts
+    for i, t in enumerate(texts):
+        for x in strings(t):
+            if x in toxic:
+                inside[x] |= 1 << i
+    bad = sum(1 << i for i, y in enumerate(labels) if y)
+
+    def gain(a: int, b: int, pos: int, n: int) -> float:
+        if a * (n - pos) <= 2 * b * pos:
+            return 0.0
         return a * np.log(a / ((a + b) * pos / n)) + (b * np.log(b / ((a + b) * (n - pos) / n)) if b else 0)
 
-    found = sorted(((gain(x), x) for x in toxic if toxic[x] * n > 2 * (toxic[x] + clean[x]) * pos), key=lambda g: (-g[0], -len(g[1]), g[1]))
+    def worth(x: str, but: int = 0) -> float:
+        """G of a candidate on the texts outside the set ``but``."""
+        a, b, seen = (inside[x] & ~but & bad).bit_count(), (inside[x] & ~but & ~bad).bit_count(), (but & bad).bit_count()
+        return gain(a, b, pos - seen, n - but.bit_count()) if a else 0.0
+
+    least = max(least, np.log(len(first) + len(toxic) + 1))
+    found = sorted(((worth(x), x) for x in toxic), key=lambda g: (-g[0], -len(g[1]), g[1]))
     chosen: list[str] = []
-    for g, x in found[:2000]:
-        if g < least or len(chosen) == number:
+    for g, x in found:
+        if g < least:
             break
         stem = x.rstrip("$")
-        if any(stem.startswith(y.rstrip("$")) or y.startswith(stem) for y in chosen):
+        like = [y for y in chosen if stem.startswith(y.rstrip("$")) or y.startswith(stem)]
+        if like and worth(x, _union(inside[y] for y in like)) < least:
             continue
-        if chosen and Landmarks(chosen).kernel([x]).max() > 0.8:
+        if chosen:
+            like += [y for y, k in zip(chosen, Landmarks(chosen).kernel([x])[0], strict=True) if k > 0.8]
+        if like and worth(x, _union(inside[y] for y in like)) < least:
             continue
         chosen.append(x)
     # words are also looked for inside others
     return [*chosen, *(x.strip("^$") for x in chosen if x.endswith("$"))] or ["^none$"]
 
 
+def _union(sets: Iterable[int]) -> int:
+    out = 0
+    for x in sets:
+        out |= x
+    return out
+
+
 def changed(core: str, rng: np.random.Generator) -> list[str]:
     """Ways to write a landmark: as it is, with letters inserted, doubled or left out, and inside other letters."""
 
@@ -327,7 +391,7 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1.0), number: int = 40, c: float = 1.0, seed: int = 5) -> ToxicityModel:
+def train(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1.0), c: float = 1.0, seed: int = 5) -> ToxicityModel:
     """Landmarks and SVM on four fifths of the rows, the sigmoid on the rest.
 
     ``rates``: shares of all rows with label 0 and 1 that were drawn; the
@@ -337,7 +401,7 @@ def train(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0,
     order = np.random.default_rng(seed).permutation(len(texts))
     held = order[: len(texts) // 5]
     fit = order[len(texts) // 5 :]
-    model = ToxicityModel(Landmarks(choose_landmarks([texts[i] for i in fit], y[fit], number)), np.zeros(0), 0.0)
+    model = ToxicityModel(Landmarks(choose_landmarks([texts[i] for i in fit], y[fit])), np.zeros(0), 0.0)
     marks = model.landmarks
     kernels = model.kernels(texts)
     clean = kernels[fit][y[fit] == 0]
