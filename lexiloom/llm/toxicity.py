@@ -5,15 +5,17 @@ weighed by ``decay`` to the power of the length it spans, so ``i-d.i o t`` and
 ``idxiot`` stay close to ``idiot``.  Landmark strings are chosen from labelled
 texts, the kernel against them is turned into features by the Nystrom map
 (K_mm ** -1/2), and a linear SVM with squared hinge loss learns on these; its
-margins become probabilities by a sigmoid fitted on rows it did not see.  The
-largest kernel over all landmarks, as far as it exceeds what clean texts reach
-with the same landmark, is a feature of its own, so that one insult counts even
-where training texts hold several.  Clean texts with one landmark written with
-inserted, doubled or missing letters, or inside other letters, are trained on
-beside the labelled ones.
+margins become probabilities by a sigmoid fitted on rows it did not see.  Three
+more features stand beside the map: how dense the kernels are (sums of fourth
+powers over a text's stretches, against its length), the length, and the
+largest kernel as far as it exceeds what clean texts reach with the same
+landmark, so that one insult counts even where training texts hold several.
+Clean texts with one landmark written with inserted, doubled or missing
+letters, or inside other letters, are trained on beside the labelled ones.
 
 A text is a bag of words, cut at white space and undone of inserted marks; runs
-of single characters are joined.  A text's kernel with a landmark is the
+of single characters are joined, and so are neighbours that spell a landmark
+with a blank in it.  A text's kernel with a landmark is the
 largest over windows from every position of its words.  Words are scored once
 for each worker and cached.
 """
@@ -95,6 +97,12 @@ class Landmarks:
         self.spans = [max(2 * len(c) - 1, len(c) + 4) for c in self.cores]
         codes = _codes(self.words, max(map(len, self.words), default=1))
         self.own = _pairs_kernel(codes, codes, self.order, self.decay)
+        heads: dict[str, set[str]] = {}
+        for c in self.cores:
+            for i in range(1, len(c)):
+                for head in (c[:i], c[:i].upper(), c[:i].capitalize()):
+                    heads.setdefault(head, set()).add(c[i:])
+        self.heads = {h: tuple(sorted(t)) for h, t in heads.items()}
 
     def kernel(self, marked: list[str]) -> np.ndarray:
         """Normalised kernels of ``^word$`` strings: words x landmarks."""
@@ -163,10 +171,20 @@ def pieces(word: str) -> list[str]:
     return [marked[i : i + _PIECE + 2 * WINDOW + 2] for i in range(0, len(marked), _PIECE)]
 
 
-def chunks(text: str) -> list[str]:
-    """Distinct stretches without white space, and runs of single characters joined."""
+def chunks(text: str, heads: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """Distinct stretches without white space, runs of single characters joined, and neighbours that are a landmark with a blank in it.
+
+    ``heads``: beginnings of landmarks and what must follow them.
+    """
     parts = text.split()
     out = set(parts)
+    if heads:
+        for head in out & heads.keys():
+            at = -1
+            for _ in range(parts.count(head)):
+                at = parts.index(head, at + 1)
+                if at + 1 < len(parts) and parts[at + 1].lower().startswith(heads[head]):
+                    out.add(head + parts[at + 1])
     run: list[str] = []
     if sum(len(p) == 1 for p in out) > 1:
         for p in [*parts, "  "]:
@@ -182,9 +200,8 @@ def chunks(text: str) -> list[str]:
 @dataclass
 class ToxicityModel:
     landmarks: Landmarks
-    weights: np.ndarray  # on kernels: the SVM's weights times K_mm ** -1/2
+    weights: np.ndarray  # on ``features``; those of kernels are the SVM's times K_mm ** -1/2
     bias: float
-    best: float = 0.0  # weight of the largest excess over ``usual``, whatever its landmark
     usual: np.ndarray | float = 0.0  # what hardly any clean text's kernel exceeds, by landmark
     slope: float = 1.0
     shift: float = 0.0
@@ -217,11 +234,12 @@ class ToxicityModel:
             else:
                 self._known[chunk] = -1
 
-    def kernels(self, texts: list[str]) -> np.ndarray:
-        """Each text's kernels with the landmarks."""
-        out = np.zeros((len(texts), len(self.landmarks.words)), np.float32)
+    def measures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's largest kernels with the landmarks, sums of their fourth powers, and number of stretches."""
+        size = len(self.landmarks.words)
+        best, sums, count = np.zeros((len(texts), size), np.float32), np.zeros((len(texts), size), np.float32), np.zeros(len(texts))
         for at in range(0, len(texts), 1024):
-            split = [chunks(t) for t in texts[at : at + 1024]]
+            split = [chunks(t, self.landmarks.heads) for t in texts[at : at + 1024]]
             if len(self._known) > 2 * _CACHE:
                 self._known.clear()
                 self._rows.clear()
@@ -229,17 +247,27 @@ class ToxicityModel:
             new = list({c for part in split for c in part if c not in known})
             if new:
                 self._learn(new)
-            for n, part in enumerate(split):
+            for n, part in enumerate(split, at):
+                count[n] = len(part)
                 rows = [r for r in map(known.__getitem__, part) if r >= 0]
                 if rows:
-                    out[at + n] = np.max([self._rows[r] for r in rows], 0)
+                    found = np.array([self._rows[r] for r in rows])
+                    best[n], sums[n] = found.max(0), (found**4).sum(0)
             for c in new:
                 if len(c) > 64:
                     known.pop(c, None)
-        return out
+        return best, sums, count
+
+    def kernels(self, texts: list[str]) -> np.ndarray:
+        """Each text's largest kernels with the landmarks."""
+        return self.measures(texts)[0]
+
+    def features(self, best: np.ndarray, sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """What the SVM sees: kernels, how dense they are, the length, and the excess."""
+        return np.hstack([best, 10 * sums / np.sqrt(1 + count)[:, None], np.log1p(count)[:, None], self.excess(best)[:, None]])
 
-    def margins(self, kernels: np.ndarray) -> np.ndarray:
-        return kernels @ self.weights + self.best * self.excess(kernels) + self.bias
+    def margins(self, best: np.ndarray, sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return self.features(best, sums, count) @ self.weights + self.bias
 
     def excess(self, kernels: np.ndarray) -> np.ndarray:
         """The largest part of the way from a landmark's usual kernel to 1, to a power that lifts small ones: changed spellings stay far below 1."""
@@ -247,7 +275,7 @@ class ToxicityModel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities of label 1."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(self.kernels(texts)) + self.shift, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(*self.measures(texts)) + self.shift, -50, 50)))
 
 
 def without_copies(texts: list[str], labels: np.ndarray, sketch: int = 16) -> list[int]:
@@ -403,31 +431,35 @@ def train(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0,
     fit = order[len(texts) // 5 :]
     model = ToxicityModel(Landmarks(choose_landmarks([texts[i] for i in fit], y[fit])), np.zeros(0), 0.0)
     marks = model.landmarks
-    kernels = model.kernels(texts)
+    measured = model.measures(texts)
+    kernels = measured[0]
     clean = kernels[fit][y[fit] == 0]
     model.usual = np.minimum(np.quantile(clean, 0.999, axis=0), 0.95) if len(clean) else np.zeros(len(marks.words))
     between = marks.kernel(marks.words).astype(float)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
 
-    def with_changed(rows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Kernels and labels of ``rows``, and of clean ones with a changed landmark each, as many as toxic ones."""
+    def with_changed(rows: np.ndarray, seed: int) -> tuple[tuple, np.ndarray]:
+        """Measures and labels of ``rows``, and of clean ones with a changed landmark each, as many as toxic ones."""
         rng = np.random.default_rng(seed)
         plain, n = rows[y[rows] == 0], int(y[rows].sum())
         if not len(plain) or not n:
-            return kernels[rows], y[rows]
+            return tuple(m[rows] for m in measured), y[rows]
         words = [f"^{w}$" for x in marks.words if x.endswith("$") for _ in range(-(-n // len(marks.words) // 4)) for w in changed(x.strip("^$"), rng)] or [f"^{x.strip('^$')}$" for x in marks.words]
         words = [words[i] for i in rng.permutation(len(words))[:n]]
-        more = np.maximum(kernels[rng.choice(plain, len(words))], marks.kernel(words))
-        return np.vstack([kernels[rows], more]), np.append(y[rows], np.ones(len(words), int))
+        to, extra = rng.choice(plain, len(words)), marks.kernel(words)
+        more = np.maximum(kernels[to], extra), measured[1][to] + extra**4, measured[2][to] + 1
+        return tuple(np.concatenate([m[rows], x]) for m, x in zip(measured, more, strict=True)), np.append(y[rows], np.ones(len(words), int))
 
     known, truth = with_changed(fit, seed + 1)
-    x = np.hstack([known @ root, model.excess(known)[:, None]])
-    w, bias = _svm(x, 2.0 * truth - 1, c) if len(fit) else (np.zeros(len(root) + 1), -1.0)
-    model.weights, model.best, model.bias = root @ w[:-1], float(w[-1]), bias
+    size = len(marks.words)
+    x = model.features(*known)
+    x[:, :size] = x[:, :size] @ root
+    w, bias = _svm(x, 2.0 * truth - 1, c) if len(fit) else (np.zeros(2 * size + 2), -1.0)
+    model.weights, model.bias = np.concatenate([root @ w[:size], w[size:]]), bias
     if 0 < y[held].sum() < len(held):
         known, truth = with_changed(held, seed + 2)
-        model.slope, model.shift = _sigmoid(model.margins(known), truth, 1 / np.array(rates)[truth])
+        model.slope, model.shift = _sigmoid(model.margins(*known), truth, 1 / np.array(rates)[truth])
     return model
 
 
