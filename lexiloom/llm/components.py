@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars.
 
 Every round is two aggregations and two joins on the edge list, cut by a
-checkpoint.  Aggregations combine map-side and the joins are plain sort-merge
-joins, so a node with a third of all edges is split by adaptive execution.
+checkpoint, until the edges are stars around their least nodes.  Aggregations
+combine map-side and the joins are plain sort-merge joins, so a node with a
+third of all edges is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from ._common import checkpoint
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent that is a child itself."""
+    ends = F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")), F.struct(F.col("v").alias("n"), F.lit(0).alias("c"), F.lit(1).alias("p")))
+    nodes = edges.where("u != v").select(F.explode(ends).alias("e")).groupBy("e.n").agg(F.sum("e.c").alias("c"), F.max("e.p").alias("p"))
+    return not nodes.where("c > 1 or c > 0 and p > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,15 +29,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     e = checkpoint(pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    before, state = None, _state(e)
-    while state != before:
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") >= F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         e = checkpoint(large)
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("p"))
-        e = checkpoint(small.select("p.*").where("u != v").distinct().unionByName(e.where("u = v")).distinct())
-        before, state = state, _state(e)
+        e = checkpoint(small.select("p.*").where("u != v").unionByName(e.where("u = v")).distinct())
+        if not _unfinished(e):
+            break
     roots = e.where("u != v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

@@ -58,6 +58,8 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
             F.col(id_col).alias("_id"),
             F.octet_length(text).cast("long").alias("_bytes"),
             F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 64 - _BITS).alias("_hash"),
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
@@ -68,7 +70,7 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
         over = checkpoint(over)
         placed = left.withColumn("cell", _prefix(high))
         last = high >= _BITS or over.isEmpty()
-        done.append(placed.join(leaves, "cell").drop("cell").withColumn("page", F.lit(0)))
+        done.append(placed.join(leaves, "cell").drop("cell", "_part", "_row").withColumn("page", F.lit(0)))
         if last:
             break
         left = checkpoint(placed.join(over, "cell", "left_semi").drop("cell"))
@@ -92,13 +94,21 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages of buckets that share all hash bits.
 
     Rows of one hash have one size but for collisions, so a page takes a fixed
-    number of them, the largest size deciding.  Numbers are dealt per salt, so
-    that no task sorts a hot hash alone.
+    number of them, the largest size deciding.  A row's number in its bucket
+    comes from counts per (bucket, input partition) of the checkpointed rows:
+    no task sorts a hot hash alone, and a task that runs again numbers alike.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int"))
-    per_page = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("_bytes"), F.lit(1)))).cast("long").alias("_per"))
-    within = Window.partitionBy("cell", "_salt").orderBy("_id")
-    paged = salted.join(per_page, "cell").withColumn("_nth", F.row_number().over(within) - 1)
-    paged = paged.withColumn("page", (F.floor(F.col("_nth") / F.col("_per")) * 64 + F.col("_salt") + 1).cast("int"))
+    parts = rows.groupBy("cell", "_part").agg(F.count(F.lit(1)).alias("_n"), F.max("_bytes").alias("_most"))
+    ahead = Window.partitionBy("cell").orderBy("_part")
+    whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = parts.select(
+        "cell",
+        "_part",
+        (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"),
+        F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("_most").over(whole), F.lit(1)))).cast("long").alias("_per"),
+    )
+    nth = F.row_number().over(Window.partitionBy("cell", "_part").orderBy("_row")) - 1
+    paged = rows.withColumn("_nth", nth).join(starts, ["cell", "_part"])
+    paged = checkpoint(paged.withColumn("page", (F.floor((F.col("_before") + F.col("_nth")) / F.col("_per")) + 1).cast("int")).select("_id", "_bytes", "_hash", "cell", "page"))
     sums = paged.groupBy("cell", "page").agg(F.sum("_bytes").alias("shard_bytes"))
     return paged.join(sums, ["cell", "page"]).select("_id", "_bytes", "_hash", F.lit(_BITS).alias("depth"), F.col("cell").alias("prefix"), "shard_bytes", "page")

@@ -148,3 +148,41 @@ def test_sharding_odd_cases(odd_documents, no_documents):
     assert shard(no_documents, 100).count() == 0
     with pytest.raises(ValueError):
         shard(no_documents, 0)
+
+
+def test_a_crowd_that_shares_a_passage(spark):
+    """Documents about a common passage, none near another but where planted; the centre lacks what they share."""
+    rng = random.Random(11)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(60)
+    rows = []
+    for size in [3, 4, 5, 6, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 25, 30] * 6:
+        own = words(size)
+        cut = rng.randrange(size + 1)
+        rows.append((len(rows), " ".join(own[:cut] + passage + own[cut:])))
+    for _ in range(20):  # near pairs whose common part is rare
+        own = words(40) + passage
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:-2] + words(2)))]
+    out = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in out}
+    assert got == want
+
+
+def test_one_row_of_each_class_stays_where_ids_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, long, "a"), (5, long, "a"), (5, long + " end", "b"), (7, long, "c"), (5, other, "d"), (3, other + " end", "e"), (9, other, "f"), (None, "alone here", "g")]
+    kept = nd.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, h string"))
+    out = sorted((r.doc_id or 0, r.text.split()[0]) for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "h"] and out == [(0, "alone"), (3, "v0"), (5, "w0")]
+
+
+def test_sharding_pages_are_numbered_alike(spark):
+    rows = [(1, "same" * 10)] * 500 + [(i, f"t{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = shard(docs, 400).collect()
+    assert len(out) == 550
+    pages = Counter((r.shard, r.page) for r in out if r.n_bytes == 40)
+    assert sorted(pages.values()) == [10] * 50  # no half-empty pages
+    assert all(sum(r.n_bytes for r in part) == part[0].shard_bytes <= 400 for part in shards(out).values())
