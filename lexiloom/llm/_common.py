@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``.
 
-    Only where neither the context nor the session names one (local tests) is a
-    folder of our own set.
+    Where neither the context nor the session names one, a local master gets a
+    folder of our own; a cluster is an error, as its executors share no folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexiloom-checkpoints"))
 
 
@@ -27,6 +29,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(name: str = "text") -> Column:
     """The text column, null counting as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

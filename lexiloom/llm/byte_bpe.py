@@ -26,6 +26,8 @@ from ._common import whole_text
 
 _CACHE = 400_000
 _NONE = 1 << 30
+#: Fixed value: the pre-token pattern for which cutting at single blanks and line feeds is proved.
+_CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[^\S \n]|  | \n|\n |\n\n")
 
 
@@ -40,6 +42,7 @@ class BytePairCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pieces = regex.compile(pattern)
+        self.cuttable = pattern == _CUTTABLE
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for b, i in ranks.items():
@@ -145,10 +148,10 @@ class BytePairCoder:
         return self._fit(last, token) if found is None else found
 
     def _entry(self, text: str) -> tuple[str, bytes]:
-        if text[:1] == " " and text[-1] in ".,;:" and text[1:-1].isalpha():  # a word and a mark
+        if self.cuttable and text[:1] == " " and text[-1] in ".,;:" and text[1:-1].isalpha():  # a word and a mark
             (a, b), (c, d) = self._cached(self._spaced, text[1:-1], text[:-1]), self._cached(self._first, text[-1], text[-1])
             return f"{a} {c}", b + d
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+        if self.cuttable and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             ids = self.encode_piece(text.encode())
             return " ".join(map(self._decimal.__getitem__, ids)), self.decode(ids)
         ids = [i for piece in self.pieces.findall(text) for i in self.encode_piece(piece.encode())]
@@ -163,11 +166,11 @@ class BytePairCoder:
     def coded(self, text: str) -> tuple[str, bytes]:
         """Decimal ids joined by a space, and the bytes they decode to.
 
-        In text whose white space is single blanks and line feeds, pre-tokens
-        never reach over a blank (which begins one) or a line feed (which is
+        With the one pattern that this holds for, in text whose white space is
+        single blanks and line feeds, pre-tokens never reach over a blank (which begins one) or a line feed (which is
         one), so it is cut there by plain splits.
         """
-        if _PLAIN.search(text):
+        if not self.cuttable or _PLAIN.search(text):
             parts = [self._cached(self._first, x, x) for x in self.pieces.findall(text)]
         else:
             parts, first, spaced = [], self._first, self._spaced
@@ -227,7 +230,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text`` from a column of token ids; null ids count as none."""
+    """``doc_id, text`` from a column of token ids.
+
+    Defined cases: null and empty lists give empty text; bytes that aren't
+    UTF-8 become replacement characters; an id outside the vocabulary is an
+    error; an empty table gives an empty result; other columns are not read.
+    """
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,8 @@
 
 Features are hashed n-grams of 1 to 3 characters of the lower-cased text, what
 is not a letter counting as a blank.  A feature's value is its share of the
-text's n-grams times its inverse document frequency.  Training is
+text's n-grams times its inverse document frequency, counted over all rows
+that may be learnt from.  Training is
 follow-the-regularised-leader (proximal) with an L1 and an L2 penalty, on a
 bounded sample of labelled rows, followed by temperature calibration on a part
 of the sample that training did not see.
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from ._common import whole_text
 BITS = 15
 SCALE = 30.0  # brings shares of n-grams to about 1
 UNDETERMINED = "und"
+_DF_BLOCK = 1024
 
 
 @lru_cache(maxsize=1)
@@ -88,8 +91,35 @@ class LanguageModel:
         return out
 
 
-def train(texts: list[str], labels: list[str], l1: float = 0.3, l2: float = 1.0, alpha: float = 0.5, beta: float = 1.0, epochs: int = 3, seed: int = 7) -> LanguageModel:
-    """FTRL-proximal with elastic net on four fifths; temperature on the rest."""
+def document_frequencies(rows: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """How many texts hold each feature, and how many texts there are: one bounded row set per partition, summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(_offsets(3) + 1, np.int64), 0
+        for batch in batches:
+            for value in batch.column(0):
+                seen = np.zeros(len(df), bool)
+                for k, g in enumerate(_grams(_codes(value.as_py()))):
+                    seen[g.astype(np.int64) + _offsets(k)] = True
+                df += seen
+                n += 1
+        df[-1] = n
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at // _DF_BLOCK, pa.int32()), pa.array(at % _DF_BLOCK, pa.int32()), pa.array(df[at], pa.int64())], ["b", "i", "n"])
+
+    found = rows.select(F.col(text_col).alias("t")).mapInArrow(run, "b int, i int, n long").groupBy("b", "i").agg(F.sum("n").alias("n"))
+    out = np.zeros(_offsets(3) + 1, np.int64)
+    for r in found.groupBy("b").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n")).toLocalIterator():
+        out[np.array(r.i) + r.b * _DF_BLOCK] = r.n
+    return out[:-1], int(out[-1])
+
+
+def train(texts: list[str], labels: list[str], frequencies: tuple[np.ndarray, int] | None = None, l1: float = 0.3, l2: float = 1.0, alpha: float = 0.5, beta: float = 1.0, epochs: int = 3, seed: int = 7) -> LanguageModel:
+    """FTRL-proximal with elastic net on four fifths; temperature on the rest.
+
+    ``frequencies``: how many texts hold each feature, and of how many; those
+    of the texts given unless they are known for more.
+    """
     languages = sorted(set(labels))
     size, k = _offsets(3), len(languages)
     if not texts:
@@ -99,10 +129,13 @@ def train(texts: list[str], labels: list[str], l1: float = 0.3, l2: float = 1.0,
     order = rng.permutation(len(rows))
     held = {int(i) for i in order[: len(rows) // 5]}
     fit = [i for i in range(len(rows)) if i not in held] or list(range(len(rows)))
-    df = np.zeros(size)
-    for i in fit:
-        df[rows[i][0][0]] += 1
-    idf = np.log((1 + len(fit)) / (1 + df)) + 1
+    df, known = np.zeros(size), len(fit)
+    if frequencies:
+        df, known = frequencies
+    else:
+        for i in fit:
+            df[rows[i][0][0]] += 1
+    idf = np.log((1 + known) / (1 + df)) + 1
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -139,21 +172,24 @@ def train(texts: list[str], labels: list[str], l1: float = 0.3, l2: float = 1.0,
     return LanguageModel(languages, (scaled / temperature).astype(np.float32), w[size] / temperature, temperature)
 
 
-def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_language: int = 600, **options) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_language: int = 600, most_languages: int = 500, **options) -> LanguageModel:
     """Train on a sample of labelled rows, at most about ``rows_per_language`` of each language.
 
     Rows are drawn by a hash of ``key_col``, so the same rows at every run; the
-    share to draw comes from counts over all rows.
+    share to draw, and the document frequencies, come from all labelled rows.
+    More than ``most_languages`` values of ``lang_col`` are an error.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     draw = F.pmod(F.xxhash64(F.lit(17), F.coalesce(F.col(key_col).cast("string"), F.lit(""))), F.lit(1_000_000))
     below = F.lit(None).cast("long")
     for lang, n in sorted(counts.items()):
         below = F.when(F.col(lang_col) == lang, F.lit(int(1_000_000 * min(1.0, rows_per_language / n)))).otherwise(below)
     sample = rows.where(draw < below).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.col(key_col).alias("k")).collect()
     sample.sort(key=lambda r: (r.y, str(r.k), r.t))
-    return train([r.t for r in sample], [r.y for r in sample], **options)
+    return train([r.t for r in sample], [r.y for r in sample], document_frequencies(rows, text_col), **options)
 
 
 def language_struct(model: LanguageModel, text: Column) -> Column:
@@ -184,6 +220,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is determined with at least ``min_score``."""
+    """Rows of ``docs``, all columns, whose language is determined with at least ``min_score``.
+
+    Defined cases: those of ``identify``; null and letterless texts go, rows
+    that repeat share a decision, columns of any name are passed on.
+    """
     p = language_struct(model, whole_text(text_col))
-    return docs.withColumn("_lx_lang", p).where((F.col("_lx_lang.lang") != UNDETERMINED) & (F.col("_lx_lang.score") >= min_score)).drop("_lx_lang")
+    return docs.where((p["lang"] != UNDETERMINED) & (p["score"] >= min_score))

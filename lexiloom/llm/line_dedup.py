@@ -4,8 +4,8 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lowered.
 Only 128 bits of a key travel, never the line.
 
 1. Each document gives its distinct long keys.  They are counted per key and
-   document bucket, so that a key found in a third of all documents becomes at
-   most ``salts`` rows.
+   document bucket, each id once, so that a key found in a third of all
+   documents becomes at most ``salts`` rows.
 2. These rows are range-partitioned by hash and sorted by document, largest
    first.  A window over that order streams them: the first row of a key names
    the document that keeps its lines, at whatever positions.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import whole_text
+from ._common import checkpoint, free_name, whole_text
 
 _STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,8 +56,11 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 def repeated_keys(hashes: DataFrame, min_docs: int, salts: int = 16) -> DataFrame:
     """Keys found in at least ``min_docs`` documents and the document that keeps them."""
     distinct = F.array_distinct(F.transform("_keys", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
-    once = hashes.select("_id", F.pmod("_rid", F.lit(salts)).alias("_salt"), F.explode(distinct).alias("_k"))
-    salted = once.groupBy(F.col("_k.h1").alias("_h1"), F.col("_k.h2").alias("_h2"), "_salt").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
+    once = hashes.select("_id", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(salts)).cast("int").alias("_salt"), F.explode(distinct).alias("_k"))
+    keyed = once.select(F.col("_k.h1").alias("_h1"), F.col("_k.h2").alias("_h2"), "_salt", "_id").repartition("_h1", "_h2", "_salt")
+    # rows of one id are one document; both aggregations use the partitioning above
+    ids = keyed.groupBy("_h1", "_h2", "_salt", "_id").agg(F.lit(1).alias("_one"))
+    salted = ids.groupBy("_h1", "_h2", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
     runs = salted.repartitionByRange("_h1").sortWithinPartitions("_h1", "_h2", F.desc("_last"))
     stream = Window.partitionBy("_h1", "_h2").orderBy(F.desc("_last"))
     whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -74,7 +77,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep_bitmap`` is an array of (word, bits): bit ``i`` of word ``w`` is 0
     if line ``64 w + i`` goes.  Words that aren't listed keep all their lines.
     """
-    hashes = line_hashes(docs, id_col, text_col, min_chars)
+    hashes = checkpoint(line_hashes(docs, id_col, text_col, min_chars))
     lines = hashes.select("_id", "_rid", F.explode("_keys").alias("_k")).select("_id", "_rid", F.col("_k.pos").alias("_pos"), F.col("_k.h1").alias("_h1"), F.col("_k.h2").alias("_h2"))
     found = lines.join(repeated_keys(hashes, min_docs, salts), ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     words = found.groupBy("_id", "_rid", F.shiftright("_pos", 6).alias("word")).agg(
@@ -99,22 +102,22 @@ def apply_bitmap(text: Column, bitmap: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, salts: int = 16) -> DataFrame:
-    """All columns of ``docs`` with the kept lines as text, and ``_lx_lines, _lx_dropped``.
+    """All columns of ``docs`` with the kept lines as text, and two counts, ``_lx_lines`` and ``_lx_dropped``.
 
-    Defined cases: null text is one empty line; rows that share an id are
-    counted as documents of their own where their texts differ, and share the
-    decision; a null id is smaller than any other; an empty table gives an
-    empty result; a text without dropped lines is returned unchanged.
+    Defined cases: null text is one empty line; rows that share an id are one
+    document to the counts and share the decision; a null id is smaller than
+    any other; an empty table gives an empty result; a text without dropped
+    lines is returned unchanged; columns of any name are passed on, and where
+    one already has the name of a count, that count gets a further underscore.
     """
-    names = docs.columns
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs, salts).select(
-        F.col("_id").alias("_lx_id"), F.col("_rid").alias("_lx_rid"), F.col("n_dropped").alias("_lx_dropped"), F.col("keep_bitmap").alias("_lx_map")
-    )
-    rows = docs.withColumn("_lx_key", F.xxhash64(F.lit(11), whole_text(text_col)))
-    joined = rows.join(maps, (F.col("_lx_key") == F.col("_lx_rid")) & F.col(id_col).eqNullSafe(F.col("_lx_id")), "left")
-    kept = F.when(F.col("_lx_dropped").isNull(), F.col(text_col)).otherwise(apply_bitmap(whole_text(text_col), F.col("_lx_map")))
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs, salts)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(F.lit(11), whole_text(text_col)).alias("_key"))
+    joined = rows.join(maps, (F.col("_key") == F.col("_rid")) & F.col("_own").eqNullSafe(F.col("_id")), "left")
+    before = F.col("_row").getField(text_col)
+    whole = F.coalesce(before.cast("string"), F.lit(""))
+    kept = F.when(F.col("n_dropped").isNull(), before).otherwise(apply_bitmap(whole, F.col("keep_bitmap")))
     return joined.select(
-        *[(kept if c == text_col else F.col(f"`{c}`")).alias(c) for c in names],
-        F.size(split_lines(whole_text(text_col))).cast("long").alias("_lx_lines"),
-        F.coalesce("_lx_dropped", F.lit(0)).cast("long").alias("_lx_dropped"),
+        *[(kept if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns],
+        F.size(split_lines(whole)).cast("long").alias(free_name(docs, "_lx_lines")),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias(free_name(docs, "_lx_dropped")),
     )

@@ -4,7 +4,8 @@ Texts become token ids; a document is cut into pieces of at most ``capacity``.
 The histogram of piece lengths (at most ``capacity`` bins, whatever the corpus)
 goes to the driver, which makes the plan:
 
-1. patterns of two and three lengths that fill a sequence exactly,
+1. patterns of two and three pieces, and of up to eight pieces of two lengths,
+   that fill a sequence or leave a few tokens,
 2. repeat counts that fit the histogram in the least-squares sense, none
    negative, by accelerated projected gradient; then again over the patterns
    that got the most,
@@ -12,6 +13,8 @@ goes to the driver, which makes the plan:
    is there,
 4. the residual, packed best-fit by length with repeats.
 
+Where best fit alone needs fewer sequences than the patterns, it is taken.
+
 A piece finds its place by its number among pieces of its length.  Numbers come
 from counts per (length, partition), so no task sees all pieces of a length.
 """
@@ -96,7 +99,12 @@ def word_tokens(path: str) -> WordTokens:
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every piece; whole texts."""
+    """``doc_id, piece, start, length, ids_crc32`` of every piece; whole texts.
+
+    Defined cases: null and empty text is one piece of the end id alone; rows
+    may repeat ids or have none; an empty table gives an empty result; other
+    columns are not read.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -120,39 +128,61 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
     return docs.select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns of two and three present lengths that sum to ``capacity``; 0 pads."""
+def _patterns(counts: np.ndarray, capacity: int, width: int = 8, common: int = 96, slack: int = 3) -> np.ndarray:
+    """Patterns of present lengths, one a row, 0 pads.
+
+    All of two pieces that leave at most ``slack`` tokens and of three that
+    leave none; of the ``common`` lengths that hold most tokens, also those of
+    up to ``width`` pieces of two lengths that leave at most ``slack``.
+    """
     have = np.flatnonzero(counts)
     have = have[have > 0]
     present = counts > 0
-    a = have[have <= capacity // 2]
-    a = a[present[capacity - a]]
-    two = np.stack([capacity - a, a, np.zeros_like(a)], 1)
-    threes = []
+    found = []
+    for spare in range(slack + 1):
+        a = have[have <= (capacity - spare) // 2]
+        a = a[present[capacity - spare - a]]
+        found.append(np.stack([capacity - spare - a, a], 1))
     for c in have[have <= capacity // 3]:
         b = have[(have >= c) & (have <= (capacity - c) // 2)]
         b = b[present[capacity - c - b]]
-        threes.append(np.stack([capacity - c - b, b, np.full_like(b, c)], 1))
-    return np.concatenate([two, *threes]) if threes else two
+        found.append(np.stack([capacity - c - b, b, np.full_like(b, c)], 1))
+    most = np.sort(have[np.argsort(-counts[have] * have, kind="stable")[:common]])
+    for i in range(1, width + 1):
+        for j in range(width + 1 - i):
+            if i + j < 2:
+                continue
+            a, b = (v.ravel() for v in np.meshgrid(most, most if j else most[:1], indexing="ij"))
+            total = i * a + j * b
+            fits = (total <= capacity) & (total >= capacity - slack) & ((a != b) | (j == 0))
+            fits &= (i + j > 3) | (i + j == 3) & (total < capacity)  # the others are above
+            found.append(np.hstack([np.repeat(a[fits][:, None], i, 1), np.repeat(b[fits][:, None], j, 1)]))
+    widest = max((f.shape[1] for f in found if len(f)), default=2)
+    return np.concatenate([np.pad(f, ((0, 0), (0, widest - f.shape[1]))) for f in found if len(f) or f.shape[1] == 2])
 
 
 def _fit(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|^2, by accelerated projected gradient."""
+    """Repeat counts x >= 0 that minimise |W (A x - counts)|^2, by accelerated projected gradient.
+
+    W weighs a length by itself: short pieces that are left over are easy to
+    place, long ones are not.
+    """
     size, real = len(counts), patterns > 0
     x = np.zeros(len(patterns))
     if not len(x):
         return x
     ahead, t = x, 1.0
-    # the largest eigenvalue of A'A is bounded by the largest row sum
-    uses = np.bincount(patterns[real], minlength=size)
-    step = 1.0 / (3 * uses.max())
+    weight = (np.arange(size) / (size - 1)) ** 2
+    # the largest eigenvalue of A'WA is bounded by its largest row sum
+    widths = np.repeat(real.sum(1), real.sum(1))
+    uses = weight * np.bincount(patterns[real], widths, minlength=size)
+    step = 1.0 / uses[patterns].sum(1, where=real).max()
     target = counts.astype(float)
     for _ in range(rounds):
         r = np.zeros(size)
-        for k in range(3):
+        for k in range(patterns.shape[1]):
             r += np.bincount(patterns[:, k], ahead, size)
-        r = r - target
-        r[0] = 0
+        r = (r - target) * weight
         new = np.maximum(ahead - step * r[patterns].sum(1), 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead = new + (t - 1) / t_new * (new - x)
@@ -185,19 +215,13 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
     return [x for group in open_.values() for x in group]
 
 
-def plan(counts: np.ndarray, capacity: int, kept_patterns: int = 4096, rounds: int = 300) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that together use every piece of the histogram once."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    patterns = _patterns(left, capacity)
-    x = _fit(patterns, left, rounds)
-    if len(x) > kept_patterns:
-        best = np.sort(np.argpartition(-x, kept_patterns)[:kept_patterns])
-        patterns = patterns[best]
-        x = _fit(patterns, left, rounds)
+def _rounded(patterns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts near ``x``; the error is carried from pattern to pattern.  Takes what it uses out of ``left``."""
     out, carry = [], 0.0
     for k in np.lexsort((patterns[:, 1], -patterns[:, 0])):
         carry += x[k]
+        if carry < 1:
+            continue
         lengths = tuple(int(v) for v in patterns[k] if v)
         need: dict[int, int] = {}
         for v in lengths:
@@ -209,7 +233,31 @@ def plan(counts: np.ndarray, capacity: int, kept_patterns: int = 4096, rounds: i
                 left[v] -= n * many
             carry -= many
         carry = min(carry, 1.0)
-    return out + _best_fit(left, capacity)
+    return out
+
+
+def plan(counts: np.ndarray, capacity: int, kept_patterns: int = 4096, rounds: int = 200, turns: int = 6) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) that together use every piece of the histogram once.
+
+    What rounding leaves over is fitted again, ``turns`` times at most.
+    """
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    out: list[tuple[tuple[int, ...], int]] = []
+    for _ in range(turns):
+        patterns = _patterns(left, capacity)
+        x = _fit(patterns, left, rounds)
+        if len(x) > kept_patterns:
+            best = np.sort(np.argpartition(-x, kept_patterns)[:kept_patterns])
+            patterns = patterns[best]
+            x = _fit(patterns, left, rounds)
+        took = _rounded(patterns, x, left)
+        out += took
+        if not took:
+            break
+    out += _best_fit(left, capacity)
+    plain = _best_fit(np.append(0, counts[1:]).astype(np.int64), capacity)
+    return min(out, plain, key=lambda p: sum(many for _, many in p))
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -503,5 +503,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, that score below ``threshold``."""
-    return docs.withColumn("_lx_toxic", toxicity_score(model, whole_text(text_col))).where(F.col("_lx_toxic") < threshold).drop("_lx_toxic")
+    """Rows of ``docs``, all columns, that score below ``threshold``.
+
+    Defined cases: those of ``score_toxicity``; null and empty texts are judged
+    as a text unlike all landmarks, rows that repeat share a decision, columns
+    of any name are passed on.
+    """
+    return docs.where(toxicity_score(model, whole_text(text_col)) < threshold)

@@ -192,13 +192,17 @@ def demux(stream: bytes) -> Stream:
 
 def feature(s: Stream) -> str:
     """A stream's summary: pid, type, packets, timestamps, random-access points, faults."""
-    rap = ",".join(map(str, s.random_access[:4])) + ("..." if len(s.random_access) > 4 else "")
     pts = f"{s.timestamps[0]}-{s.timestamps[-1]}" if s.timestamps else "-"
-    return f"pid={s.pid};type={s.stream_type};packets={s.packets};pes={len(s.timestamps)};pts={pts};rap={len(s.random_access)}:{rap};breaks={s.breaks};crc_errors={s.crc_errors}"
+    return f"pid={s.pid};type={s.stream_type};packets={s.packets};pes={len(s.timestamps)};pts={pts};rap={','.join(map(str, s.random_access))};breaks={s.breaks};crc_errors={s.crc_errors}"
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, media``: each text as a transport stream."""
+    """``doc_id, n_bytes, media``: each text as a transport stream.
+
+    Defined cases: null counts as empty, and an empty text is 192 blanks; ids
+    may be null or repeated; an empty table gives an empty result; other
+    columns are not read.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,24 +220,45 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of a media column, from its stored bytes alone.
+    """Digests, features, timestamps and random-access points of a media column, from its stored bytes alone.
+
+    ``timestamps`` are those of the elementary packets on the 90 kHz clock,
+    ``random_access`` the numbers of the packets at which decoding can begin,
+    ``continuity_breaks`` and ``table_errors`` count faults.
 
     Defined cases: null and empty text are stored as 192 blanks; null or
-    repeated ids are passed on; an empty table gives an empty result.
+    repeated ids are passed on; a null or damaged stream gives a row whose
+    ``error`` says what is wrong, with nulls for what can't be read; an empty
+    table gives an empty result.
     """
     id_type = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = {
+        "payload_bytes": pa.int64(),
+        "payload_sha256": pa.string(),
+        "tail_crc32": pa.int64(),
+        "media_bytes": pa.int64(),
+        "media_sha256": pa.string(),
+        "feature": pa.string(),
+        "timestamps": pa.list_(pa.int64()),
+        "random_access": pa.list_(pa.int64()),
+        "continuity_breaks": pa.int64(),
+        "table_errors": pa.int64(),
+        "error": pa.string(),
+    }
+
+    def read(stored: bytes | None) -> tuple:
+        whole = (None, None) if stored is None else (len(stored), hashlib.sha256(stored).hexdigest())
+        try:
+            s = demux(stored or b"")
+        except (ValueError, IndexError) as e:
+            return (None, None, None, *whole, None, None, None, None, None, str(e) or "damaged")
+        return (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), *whole, feature(s), s.timestamps, s.random_access, s.breaks, s.crc_errors, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(2):
-                stored = value.as_py()
-                s = demux(stored)
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(s)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+            rows = [read(value.as_py()) for value in batch.column(2)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], ["doc_id", "n_bytes", *kinds])
+
+    schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>, continuity_breaks long, table_errors long, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

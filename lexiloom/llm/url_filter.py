@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import checkpoint
 from .components import connected_components
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -22,8 +23,8 @@ Rule = tuple[str, str, str]  # verdict, host, path
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
-#: Rules become one CASE expression, so their number is bounded.
-MAX_RULES = 2_000
+#: Up to so many rules become one CASE expression; more are joined.
+MAX_RULES = 200
 
 
 def host_of(url: Column) -> Column:
@@ -42,8 +43,6 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
     Of rules with the same host and path, an allow comes before a block.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     found = None
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1:])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
@@ -53,6 +52,28 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return none if found is None else found.otherwise(none)
 
 
+def matched_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``urls`` (with columns ``host`` and ``path``) and the struct ``_rule`` of the longest rule that fits.
+
+    Few rules are one expression.  Many are a table, met by equality on each
+    host suffix and on a path's beginnings of the lengths that rules have; both
+    sides are aggregated to distinct (host, path) before they meet.
+    """
+    if len(rules) <= MAX_RULES:
+        return urls.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    table = urls.sparkSession.createDataFrame([(v, h, p) for v, h, p in rules], "v string, _h string, _p string")
+    sizes = F.array(*[F.lit(n) for n in sorted({len(p) for _, _, p in rules})])
+    places = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    starts = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
+    tried = places.select("host", "path", F.explode(suffixes).alias("_h"), starts.alias("_s")).select("host", "path", "_h", F.explode("_s").alias("_p"))
+    rank = F.struct((-F.length("_h") - F.length("_p")).alias("n"), (F.col("v") != "allow").alias("w"), "_h", "_p", F.col("v").alias("verdict"))
+    best = tried.join(table, ["_h", "_p"]).groupBy("host", "path").agg(F.min(rank).alias("b"))
+    found = best.select("host", "path", F.struct(F.concat("b._h", "b._p").alias("rule"), "b.verdict").alias("_rule"))
+    return urls.join(found, ["host", "path"], "left")
+
+
 def _resource(url: Column) -> Column:
     """A url without its fragment; the node of a page."""
     return F.regexp_extract(url, r"(?s)^([^#]*)", 1)
@@ -77,8 +98,9 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     url, html = F.col(url_col), F.col(html_col)
     low = F.lower(html)
     seen = pages.where(url.contains("://") & (low.contains("canonical") | low.contains("refresh")))
-    links = F.array(_resolved(F.regexp_extract(html, _CANONICAL, 1), url), _resolved(F.regexp_extract(html, _REFRESH, 1), url))
-    return seen.select(_resource(url).alias("src"), F.explode(links).alias("dst")).where("dst is not null and dst != src")
+    links = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
+    found = seen.select(url.alias("_url"), F.explode(F.array_distinct(links)).alias("_link"))
+    return found.select(_resource(F.col("_url")).alias("src"), _resolved(F.col("_link"), F.col("_url")).alias("dst")).where("dst is not null and dst != src").distinct()
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -92,12 +114,9 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     """
     url = F.col(url_col)
     host, path = host_of(url), path_of(url)
-    judged = pages.select(
-        F.col(id_col).alias("_id"),
-        host.alias("host"),
-        path.alias("path"),
-        longest_rule(host, path, rules).alias("_rule"),
-        F.when(url.contains("://"), F.unhex(F.md5(_resource(url)))).alias("_node"),
+    judged = matched_rules(
+        pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), F.when(url.contains("://"), F.unhex(F.md5(_resource(url)))).alias("_node")),
+        rules,
     )
     edges = None
     if html_col:
@@ -107,10 +126,11 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
         edges = more if edges is None else edges.unionByName(more)
     if edges is None:
         return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"), F.lit(None).cast("binary").alias("alias_root"))
+    edges = checkpoint(edges)
     hashed = edges.select(F.unhex(F.md5("src")).alias("a"), F.unhex(F.md5("dst")).alias("b"))
     parts = connected_components(hashed, "a", "b")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("_url")).distinct()
-    ruled = ends.select(F.unhex(F.md5("_url")).alias("node"), longest_rule(host_of(F.col("_url")), path_of(F.col("_url")), rules)["verdict"].alias("_v"))
+    ruled = matched_rules(ends.select(F.unhex(F.md5("_url")).alias("node"), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")), rules).select("node", F.col("_rule.verdict").alias("_v"))
     decided = (
         parts.join(ruled, "node")
         .groupBy("root")

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 from lexiloom.llm import packing, transport_stream
-from lexiloom.llm.byte_bpe import coder, decode_documents, encode_documents, load_ranks
+from lexiloom.llm.byte_bpe import BytePairCoder, coder, decode_documents, encode_documents, load_ranks
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 
@@ -129,3 +129,32 @@ def test_plan_uses_each_piece_once_and_packs_well():
         assert (used == counts).all()
         assert sequences <= -(-int((counts * np.arange(1025)).sum()) // 1024) * 1.02 + 1
     assert packing.plan(np.zeros(1025, int), 1024) == []
+
+
+def test_damaged_streams_are_rows_with_an_error(spark):
+    good = transport_stream.mux(transport_stream.padded(b"x" * 100_000))
+    rows = [(1, 3, bytearray(good)), (2, 3, bytearray(b"short")), (3, 3, None), (4, 3, bytearray(b"\0" * 376)), (5, 3, bytearray(transport_stream.mux(transport_stream.padded(b"one table"))[188:]))]
+    out = {r.doc_id: r for r in transport_stream.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert out[1].error is None and out[1].timestamps == [n * 3600 for n in range(len(out[1].timestamps))] and len(out[1].timestamps) > 9
+    assert len(out[1].random_access) == 2 and out[1].continuity_breaks == 0 and str(out[1].random_access[1]) in out[1].feature
+    assert all(out[i].error and out[i].payload_sha256 is None for i in (2, 3, 4, 5)) and out[2].media_bytes == 5 and out[3].media_sha256 is None
+
+
+def test_another_pattern_is_not_cut_at_blanks():
+    other = BytePairCoder(load_ranks(RANKS), r"[^\n]+|\n")
+    for text in ("two words here, and more", "a b\nc d e", "x " * 50):
+        line, decoded = other.coded(text)
+        assert [int(i) for i in line.split()] == other.encode(text) and decoded.decode() == text
+
+
+@pytest.mark.parametrize("top", [300, 680, 2047])
+def test_plan_is_never_worse_than_best_fit(top):
+    counts = np.bincount(np.random.default_rng(top).integers(1, top + 1, 3000), minlength=2049)
+    out = packing.plan(counts, 2048)
+    used = np.zeros(2049, int)
+    for lengths, many in out:
+        assert sum(lengths) <= 2048
+        for v in lengths:
+            used[v] += many
+    assert (used == counts).all()
+    assert sum(m for _, m in out) <= sum(m for _, m in packing._best_fit(counts.astype(np.int64), 2048))

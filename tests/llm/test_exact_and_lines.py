@@ -86,3 +86,15 @@ def test_line_dedup_odd_cases(odd_documents, no_documents):
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r.text for r in odd_documents.collect())))
     assert {r._lx_lines for r in out.where("doc_id = 3").collect()} == {1}
     assert line_dedup(no_documents).count() == 0
+
+
+def test_line_dedup_counts_ids_once_and_keeps_all_columns(spark):
+    line = "a line that is well over forty characters long, as it must be"
+    rows = [(1, line, "keep me", 7), (1, line + "\nx", "me too", 8), (1, line, "keep me", 9), (2, line, "a", 1), (3, line, "b", 2), (4, "y\n" + line, "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _lx_key string, _lx_dropped long")
+    out = line_dedup(df).collect()
+    assert sorted(tuple(r)[:4] for r in out) == sorted(rows)  # four ids, so no line goes, and no value is lost
+    assert out[0].__fields__ == ["doc_id", "text", "_lx_key", "_lx_dropped", "_lx_lines", "_lx_dropped_"]
+    more = line_dedup(spark.createDataFrame([*rows, (5, line, "d", 4)], df.schema)).collect()
+    assert {(r.doc_id, r.text) for r in more} == {(1, ""), (1, "x"), (2, ""), (3, ""), (4, "y"), (5, line)}
+    assert sorted((r._lx_key, r._lx_dropped) for r in more) == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("keep me", 7), ("keep me", 9), ("me too", 8)]

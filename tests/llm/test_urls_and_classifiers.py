@@ -5,7 +5,7 @@ import pytest
 
 from lexiloom.llm import language_id, toxicity
 from lexiloom.llm.queries import RULES
-from lexiloom.llm.url_filter import alias_edges, url_filter
+from lexiloom.llm.url_filter import MAX_RULES, alias_edges, url_filter
 
 
 def pages(spark, rows):
@@ -47,8 +47,20 @@ def test_edges_and_empty(spark):
     rows = [(1, "http://a.io/x/y?z", "<LINK HREF='../n&amp;m' REL=canonical>"), (2, "http://a.io/", '<a href="/canonical">'), (3, None, "<link rel=canonical href=/x>")]
     assert [(r.src, r.dst) for r in alias_edges(pages(spark, rows)).collect()] == [("http://a.io/x/y?z", "http://a.io/x/../n&m")]
     assert url_filter(pages(spark, []), RULES).count() == 0
-    with pytest.raises(ValueError):
-        url_filter(pages(spark, []), [("block", f"h{i}", "/") for i in range(3000)])
+    rows = [(1, "http://a.io/", "<link rel=canonical href=http://b.io/><link rel=canonical href=http://bad.net/><meta http-equiv=refresh content='0;url=http://c.io/'>")]
+    assert {r.dst for r in alias_edges(pages(spark, rows)).collect()} == {"http://b.io/", "http://bad.net/", "http://c.io/"}
+    assert [r.verdict for r in url_filter(pages(spark, rows), RULES).collect()] == ["block"]
+
+
+def test_many_rules_are_joined_and_say_the_same(spark):
+    rng = random.Random(2)
+    hosts = ["net", "a.net", "b.a.net", "io", "x.io", "org"]
+    rules = [(rng.choice(["block", "allow"]), rng.choice(hosts), rng.choice(["/", "/a", "/a/", "/ab/c", "/é", ""])) for _ in range(60)]
+    more = [("block", f"h{i}.com", "/") for i in range(MAX_RULES)]
+    rows = [(i, f"http://{rng.choice(['', 'w.'])}{rng.choice(hosts)}{rng.choice(['/', '/a', '/a/b', '/ab/c/d', '/é/f', '?q', ''])}", "") for i in range(300)] + [(900, "http://q.h7.com/z", ""), (901, None, None)]
+    few = {r.page_id: (r.rule, r.verdict) for r in url_filter(pages(spark, rows), rules).collect()}
+    many = {r.page_id: (r.rule, r.verdict) for r in url_filter(pages(spark, rows), rules + more).collect()}
+    assert few.pop(900) == (None, "allow") and many.pop(900) == ("h7.com/", "block") and few == many
 
 
 def corpus():
@@ -79,6 +91,14 @@ def test_language_documents(spark, odd_documents, no_documents):
     assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "fr", "und") for r in out.values())
     assert sorted(r.doc_id or 0 for r in language_id.keep_identified(odd_documents, model).collect()) == [0, 1, 2, 2, 5, 6, 7]
     assert language_id.identify(no_documents, model).count() == 0
+    df, n = language_id.document_frequencies(train.where("text is not null"))
+    texts = [r.text for r in train.collect() if r.text is not None]
+    want = np.zeros(len(df), int)
+    for t in texts:
+        want[language_id.features(t)[0]] += 1
+    assert n == len(texts) and (df == want).all()
+    with pytest.raises(ValueError):
+        language_id.fit_language_model(train, most_languages=2)
     none = language_id.fit_language_model(train.where("false"))
     assert {r.lang_pred for r in language_id.identify(odd_documents, none).collect()} == {"und"}
 
