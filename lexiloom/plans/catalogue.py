@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, vectors
 from ..operators import answers, batch, blocks, chunking, evaluation, search, sections, tables
-from ..session import ChunkSettings, SearchSettings
+from ..session import ChunkSettings, SearchSettings, spread
 from ..sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 _TOKENS = r"regexp_extract_all(lower(translate({0}, 'ёЁ', 'еЕ')), '\p{{Nd}}+(?:[.,]\p{{Nd}}+)+|[\pL\pN\pM_]+(?:[-''’][\pL\pN\pM_]+)*')"

@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lexiloom", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -17,6 +17,16 @@ def session(app: str = "lexiloom", cores: str = "*", shuffle_partitions: int | N
     return builder.master(f"local[{cores}]").getOrCreate() if not SparkSession.getActiveSession() else builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its source gives fewer partitions than there are cores.
+
+    A small table is often one row group and would keep one core busy.  A table
+    with more partitions than cores passes unchanged, so nothing large is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass(frozen=True)
 class ChunkSettings:
     """Budgets of the chunker, in characters."""
