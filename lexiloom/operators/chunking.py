@@ -1,8 +1,10 @@
 """Chunking of block streams: one pass over each document's ordered blocks.
 
 Packing is a fold whose state is the length of what was taken so far, so it
-runs as one function per document (``applyInPandas``); documents are the unit
-of distribution.  Budgets are in characters.
+runs as one function per document; documents are the unit of distribution.
+Stored blocks are brought together by document (``applyInPandas``); texts that
+are one row each are parsed and chunked where they lie (``chunk_texts``).
+Budgets are in characters or in a tokenizer's tokens.
 """
 
 from __future__ import annotations
@@ -10,10 +12,14 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ChunkSettings
 
@@ -33,6 +39,7 @@ RECORD_ROWS = (4, 600)
 RECORD_COLUMNS = 40
 RECORD_CELL = 300
 PROFILE_ROWS = 4
+TOPIC_SENTENCES, TOPIC_BUDGETS = 12, 3
 # End of fixed values.
 
 _BORDER = re.compile(r"(?<=[.!?…])\s+(?=[^\sa-zа-яё])|\n+")
@@ -89,6 +96,59 @@ class _Buffer:
     size: int = 0
 
 
+@dataclass
+class Budget:
+    """How much a chunk may hold, and how texts are measured."""
+
+    limit: int
+    minimum: int = 1
+    overlap: int = 0
+    size: Callable[[str], int] = len
+    chars: int = 1  # characters that a unit is worth where text is cut blindly
+
+    def less(self, used: int) -> Budget:
+        """With ``used`` units taken off the limit."""
+        return replace(self, limit=max(1, self.limit - used))
+
+    def windows(self, text: str, before: str = "") -> list[str]:
+        """Windows of ``text``, each after ``before``, that fit; an estimate shrinks by a fifth until it does."""
+        out, start = [], 0
+        while start < len(text):
+            width = self.limit - len(before) if self.chars == 1 else int(self.limit * max(1.0, len(text[start : start + 2000]) / max(1, self.size(text[start : start + 2000]))))
+            width = max(1, width)
+            while width > 1 and self.size(before + text[start : start + width]) > self.limit:
+                width = max(1, int(width * 0.8))
+            out.append(before + text[start : start + width])
+            start += max(width // 2, width - self.overlap * self.chars, 1)
+        return out
+
+
+def token_counter(encode: Callable[[str], Sequence], most: int = 4096) -> Callable[[str], int]:
+    """Number of tokens of a text, remembered for the last texts."""
+    return lru_cache(maxsize=most)(lambda text: len(encode(text)))
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str) -> tuple[Callable[[str], int], int | None]:
+    """Counter and window of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    window = (t.truncation or {}).get("max_length")
+    t.no_truncation()
+    return token_counter(lambda text: t.encode(text, add_special_tokens=False).ids), window
+
+
+def token_budget(s: ChunkSettings, size: Callable[[str], int], window: int | None = None) -> Budget:
+    """A budget in tokens; overlap and minimum keep their shares."""
+    limit = s.max_tokens or min(window or s.target_tokens, s.target_tokens)
+    return Budget(limit, max(1, limit // 3), max(0, min(round(limit * s.overlap / s.max_chars), limit - 1)), size, 3)
+
+
+def budget_of(s: ChunkSettings) -> Budget:
+    return token_budget(s, *_tokenizer(s.tokenizer)) if s.tokenizer else Budget(s.max_chars, s.minimum, s.overlap)
+
+
 def split_sections(blocks: list[Block]) -> list[Section]:
     """Sections in order; a heading closes what is open at its level or below."""
     out: list[Section] = []
@@ -117,80 +177,90 @@ def shortened(text: str, width: int) -> str:
     return text if len(text) <= width else text[: width - 1].rstrip() + "…"
 
 
-def breadcrumb(title: str | None, path: list[str], limit: int) -> str:
+def breadcrumb(title: str | None, path: list[str], limit: int, size: Callable[[str], int] = len) -> str:
     """Title and path in at most a fifth of the budget; outer parts give way first."""
     parts: list[str] = []
     for p in [title, *path]:
         if p and p.strip() and (not parts or parts[-1] != shortened(p.strip(), CRUMB_CHARS)):
             parts.append(shortened(p.strip(), CRUMB_CHARS))
-    while parts and len(CRUMB_SEPARATOR.join(parts)) > limit * CRUMB_SHARE:
+    while parts and size(CRUMB_SEPARATOR.join(parts)) > limit * CRUMB_SHARE:
         parts.pop(0)
     return CRUMB_SEPARATOR.join(parts)
 
 
-def hard_split(text: str, limit: int, overlap: int) -> list[str]:
+def hard_split(text: str, limit: int, overlap: int, size: Callable[[str], int] = len, chars: int = 1) -> list[str]:
     """By words if each fits, else fixed windows that overlap."""
     words = text.split()
-    if len(words) > 1 and max(map(len, words)) <= limit:
+    if len(words) > 1 and max(map(size, words)) <= limit:
         out, now = [], ""
         for w in words:
             joined = f"{now} {w}" if now else w
-            if len(joined) > limit:
+            if size(joined) > limit:
                 out.append(now)
                 joined = w
             now = joined
         return [*out, now]
-    step = max(1, limit - min(overlap, limit - 1))
-    return [text[i : i + limit] for i in range(0, max(1, len(text) - (limit - step)), step)]
+    width = limit * chars
+    step = max(1, width - overlap * chars)
+    return [text[i : i + width] for i in range(0, len(text), step)]
+
 
+def pack_sentences(text: str, limit: int, overlap: int, size: Callable[[str], int] = len, chars: int = 1, topics: Callable[[list[str]], set[int]] | None = None, minimum: int = 1) -> list[str]:
+    """Sentences up to the budget, each piece repeating the end of the one before.
 
-def pack_sentences(text: str, limit: int, overlap: int) -> list[str]:
-    """Sentences up to the budget, each piece repeating the end of the one before."""
+    ``topics``: which sentences open a topic, asked for texts of 12 sentences
+    and three budgets at least; a piece of ``minimum`` closes there, and
+    nothing of it is repeated.
+    """
     out: list[str] = []
     now: list[str] = []
-    size = 0
-    for s in split_sentences(text):
-        if len(s) > limit:
+    held = 0
+    found = split_sentences(text)
+    opens = topics(found) if topics and len(found) >= TOPIC_SENTENCES and size(text) >= TOPIC_BUDGETS * limit else set()
+    for n, s in enumerate(found):
+        more = size(s)
+        if more > limit:
             if now:
                 out.append(" ".join(now))
-            out += hard_split(s, limit, overlap)
-            now, size = [], 0
+            out += hard_split(s, limit, overlap, size, chars)
+            now, held = [], 0
             continue
-        if now and size + len(s) > limit:
+        topic = n in opens and held >= minimum
+        if now and (topic or held + more > limit or chars > 1 and size(" ".join([*now, s])) > limit):
             out.append(" ".join(now))
-            tail, room = [], overlap
+            tail, room = [], 0 if topic else overlap
             for t in reversed(now[1:]):
-                if len(t) > room:
+                if size(t) > room:
                     break
                 tail.insert(0, t)
-                room -= len(t)
-            now, size = tail, sum(map(len, tail))
-            if size + len(s) > limit:
-                now, size = [], 0
+                room -= size(t)
+            now, held = tail, sum(map(size, tail))
+            if held + more > limit:
+                now, held = [], 0
         now.append(s)
-        size += len(s)
+        held += more
     return out + [" ".join(now)] if now else out
 
 
-def pack_lines(text: str, limit: int, overlap: int, keep_blank: bool) -> list[str]:
+def pack_lines(text: str, limit: int, overlap: int, keep_blank: bool, size: Callable[[str], int] = len, chars: int = 1) -> list[str]:
     """Whole lines up to the budget, for lists and code."""
     out: list[str] = []
     now: list[str] = []
-    size = 0
+    held = 0
     for line in text.split("\n"):
         if not keep_blank and not line.strip():
             continue
-        if len(line) > limit:
+        if size(line) > limit:
             if now:
                 out.append("\n".join(now))
-            out += hard_split(line, limit, overlap)
-            now, size = [], 0
+            out += hard_split(line, limit, overlap, size, chars)
+            now, held = [], 0
             continue
-        if now and size + len(line) + 1 > limit:
+        if now and held + size(line) + 1 > limit:
             out.append("\n".join(now))
-            now, size = [], 0
+            now, held = [], 0
         now.append(line)
-        size += len(line) + (len(now) > 1)
+        held += size(line) + (len(now) > 1)
     return out + ["\n".join(now)] if now else out
 
 
@@ -211,46 +281,46 @@ def table_parts(text: str) -> tuple[str, list[str], list[str]]:
     return caption, header, [r for r in rows if not rule(r) and any(cells_of(r))]
 
 
-def split_table(text: str, limit: int) -> list[str]:
+def split_table(text: str, limit: int, size: Callable[[str], int] = len, chars: int = 1) -> list[str]:
     """Rows up to the budget under a repeated header, abbreviated if it must be."""
     caption, header, rows = table_parts(text)
     whole = "\n".join(header)
     once = ""
-    if len(prefix := "\n".join(x for x in (caption, whole) if x)) <= limit * HEADER_SHARE:
+    if size(prefix := "\n".join(x for x in (caption, whole) if x)) <= limit * HEADER_SHARE:
         pass
-    elif len(whole) <= limit * HEADER_SHARE:
+    elif size(whole) <= limit * HEADER_SHARE:
         prefix = whole
     else:
         prefix = ""
         for width in HEADER_WIDTHS if header else ():
             short = "| " + " | ".join(shortened(c, width) for c in cells_of(header[0])) + " |\n" + header[1]
-            if len(short) <= limit * HEADER_SHARE:
+            if size(short) <= limit * HEADER_SHARE:
                 prefix = short
                 break
         once = "" if prefix else whole
     out: list[str] = []
-    now: list[str] = [once] if once and len(once) <= limit else []
-    size = sum(len(x) + 1 for x in now) + (len(prefix) + 1 if prefix else 0)
-    start = size
+    now: list[str] = [once] if once and size(once) <= limit else []
+    above = size(prefix) + 1 if prefix else 0
+    held = start = sum(size(x) + 1 for x in now) + above
+    room = max(1, limit - above)
     for row in rows:
-        room = limit - (len(prefix) + 1 if prefix else 0)
-        for part in [row] if len(row) <= room else _split_row(row, max(1, room)):
-            if now and size + len(part) + 1 > limit:
+        for part in [row] if size(row) <= room else _split_row(row, room, size, chars):
+            if now and held + size(part) + 1 > limit:
                 out.append("\n".join([prefix, *now] if prefix else now))
-                now, size = [], (len(prefix) + 1 if prefix else 0)
+                now, held = [], above
             now.append(part)
-            size += len(part) + 1
-    if now and (size > start or not out):
+            held += size(part) + 1
+    if now and (held > start or not out):
         out.append("\n".join([prefix, *now] if prefix else now))
     return out or [text]
 
 
-def _split_row(row: str, room: int) -> list[str]:
+def _split_row(row: str, room: int, size: Callable[[str], int] = len, chars: int = 1) -> list[str]:
     out, now = [], ""
     for cell in cells_of(row):
-        for part in [cell] if len(cell) + 4 <= room else hard_split(cell, max(1, room - 4), 0):
+        for part in [cell] if size(cell) + 4 <= room else hard_split(cell, max(1, room - 4), 0, size, chars):
             joined = f"{now} {part} |" if now else f"| {part} |"
-            if len(joined) > room and now:
+            if size(joined) > room and now:
                 out.append(now)
                 joined = f"| {part} |"
             now = joined
@@ -291,32 +361,36 @@ def row_contexts(text: str, limit: int) -> list[str]:
     return [g for rows_ in groups for g in ["\n".join([head, *rows_])] * len(rows_)]
 
 
-def parent_window(pieces: list[str], at: int, head: str, limit: int) -> str:
-    """A piece with its neighbours, before and after in turn, up to the limit."""
-    low = high = at
-    size = len(pieces[at]) + (len(head) + 2 if head else 0)
-    before, stuck = True, 0
+def parent_window(pieces: list[str], start: int, end: int, head: str, limit: int) -> str:
+    """``pieces[start:end]`` with neighbours, before and after in turn, up to the limit; the heading path comes first."""
+    room = limit - (len(head) + 2 if head else 0)
+    text = "\n\n".join(pieces[start:end])
+    if len(text) >= room:
+        text = text[: max(0, room)] + " …"
+        return f"{head}\n\n{text}" if head else text
+    size, before, stuck = len(text), True, 0
     while stuck < 2:
-        n = low - 1 if before else high + 1
-        if 0 <= n < len(pieces) and size + len(pieces[n]) + 2 <= limit:
+        n = start - 1 if before else end
+        if 0 <= n < len(pieces) and size + len(pieces[n]) + 2 <= room:
             size += len(pieces[n]) + 2
-            low, high = min(low, n), max(high, n)
+            start, end = min(start, n), max(end, n + 1)
             stuck = 0
         else:
             stuck += 1
         before = not before
-    text = "\n\n".join(x for x in (head, *pieces[low : high + 1]) if x)
-    return text if len(text) <= limit else text[: limit - 2].rstrip() + " …"
+    return "\n\n".join(x for x in (head, *pieces[start:end]) if x)
 
 
 class Chunker:
     """The fold over one document."""
 
-    def __init__(self, settings: ChunkSettings, title: str | None):
-        self.s, self.title = settings, title
+    def __init__(self, settings: ChunkSettings, title: str | None, budget: Budget | None = None, spreadsheet: bool = False, topics: Callable[[list[str]], set[int]] | None = None):
+        self.s, self.title, self.b = settings, title, budget or budget_of(settings)
+        self.spreadsheet, self.topics = spreadsheet, topics
         self.pieces: list[Piece] = []
         self.buffer = _Buffer()
         self.repeated: set[str] = set()
+        self.gap = 2 if self.b.chars == 1 else 0  # units of a blank line
 
     def run(self, blocks: list[Block], keep_headers: bool = False) -> list[Piece]:
         if self.s.formulas == "context" and any(b.type != "formula" for b in blocks):
@@ -334,26 +408,30 @@ class Chunker:
         return self.pieces
 
     def _crumb(self, path: list[str]) -> str:
-        return breadcrumb(self.title, path, self.s.max_chars)
+        return breadcrumb(self.title, path, self.b.limit, self.b.size)
+
+    def _above(self, crumb: str) -> int:
+        """Units that a breadcrumb and the blank line after it take."""
+        return self.b.size(crumb) + self.gap if crumb else 0
 
     def _add(self, section: Section) -> None:
         crumb = self._crumb(section.path)
-        size = len(section.text) + (len(crumb) + 2 if crumb else 0)
         if not section.text:
             return
-        if size > self.s.max_chars:
+        size = self.b.size(section.text) + self._above(crumb)
+        if size > self.b.limit:
             self._flush()
             self._pack(section)
             return
         b = self.buffer
-        more = size + (2 if b.sections else 0)
-        if b.sections and (b.size >= self.s.minimum or b.size + more > self.s.max_chars):
+        more = size + (self.gap if b.sections else 0)
+        if b.sections and (b.size >= self.b.minimum or b.size + more > self.b.limit):
             self._flush()
         b = self.buffer
-        if b.sections and b.sections[0].path != section.path and b.size >= self.s.minimum // 2:
+        if b.sections and b.sections[0].path != section.path and b.size >= self.b.minimum // 2:
             self._flush()
         b = self.buffer
-        b.size += size + (2 if b.sections else 0)
+        b.size += size + (self.gap if b.sections else 0)
         b.sections.append(section)
 
     def _flush(self) -> None:
@@ -369,33 +447,33 @@ class Chunker:
         body = [b for b in section.blocks if b.type != "heading" and b.body] or [b for b in section.blocks if b.body]
         path = section.full_path if any(b.type != "heading" for b in body) else section.path
         crumb = self._crumb(path)
-        limit = max(1, self.s.max_chars - (len(crumb) + 2 if crumb else 0))
+        limit = max(1, self.b.limit - self._above(crumb))
         texts = [b.body for b in body]
         head = CRUMB_SEPARATOR.join(path)
         held: list[int] = []
 
         def size(of: list[int]) -> int:
-            return sum(len(texts[i]) for i in of) + 2 * max(0, len(of) - 1)
+            return sum(self.b.size(texts[i]) for i in of) + self.gap * max(0, len(of) - 1)
 
         def out(of: list[int]) -> None:
             if of:
-                context = parent_window(texts, of[0], head, self.s.parent_chars)
+                context = parent_window(texts, of[0], of[-1] + 1, head, self.s.parent_chars)
                 self._emit("\n\n".join(texts[i] for i in of), [body[i] for i in of], path, section.heading, context)
 
         for i, b in enumerate(body):
-            if b.type == "table" or len(b.body) > limit:
+            if b.type == "table" or self.b.size(b.body) > limit:
                 out(held)
                 held = []
                 parts = self._cut(b, limit)
                 for n, part in enumerate(parts):
-                    near = parent_window(parts, n, head, self.s.parent_chars) if len(parts) > 1 else parent_window(texts, i, head, self.s.parent_chars)
+                    near = parent_window(parts, n, n + 1, head, self.s.parent_chars) if len(parts) > 1 else parent_window(texts, i, i + 1, head, self.s.parent_chars)
                     self._emit(part, [b], path, section.heading, near)
                 continue
             if held and size([*held, i]) > limit:
                 out(held)
                 seed: list[int] = []
                 for j in reversed(held[1:]):
-                    if size([j, *seed]) > self.s.overlap:
+                    if size([j, *seed]) > self.b.overlap:
                         break
                     seed.insert(0, j)
                 held = seed
@@ -403,11 +481,12 @@ class Chunker:
         out(held)
 
     def _cut(self, b: Block, limit: int) -> list[str]:
+        size, chars = self.b.size, self.b.chars
         if b.type == "table":
-            return [b.body] if len(b.body) <= limit else split_table(b.body, limit)
+            return [b.body] if size(b.body) <= limit else split_table(b.body, limit, size, chars)
         if b.type in ("list", "code"):
-            return pack_lines(b.body, limit, self.s.overlap, b.type == "code")
-        return pack_sentences(b.body, limit, self.s.overlap)
+            return pack_lines(b.body, limit, self.b.overlap, b.type == "code", size, chars)
+        return pack_sentences(b.body, limit, self.b.overlap, size, chars, self.topics, self.b.minimum)
 
     def _records(self, b: Block, section: Section) -> None:
         from .tables import profile_text
@@ -417,11 +496,11 @@ class Chunker:
             near = row_contexts(b.body, self.s.parent_chars)
             for n, record, _ in records:
                 self._emit(record, [b], path, section.heading, near[n - 1], "row", n)
-        if self.s.table_profiles:
+        if self.s.table_profiles and not self.spreadsheet:  # a workbook's parser has made its own
             _, header, rows = table_parts(b.body)
             if header and len(rows) >= PROFILE_ROWS:
                 profile = profile_text(cells_of(header[0]), [cells_of(r) for r in rows])
-                while len(profile) > self.s.max_chars and "\n" in profile:
+                while self.b.size(profile) > self.b.limit and "\n" in profile:
                     profile = profile.rsplit("\n", 1)[0]
                 if profile:
                     self._emit(profile, [b], path, section.heading, b.body[: self.s.parent_chars], "profile")
@@ -434,17 +513,16 @@ class Chunker:
         if parts and body.split("\n", 1)[0].strip() == parts[-1]:
             parts.pop()
         crumb = self._crumb(parts)
-        room = max(1, self.s.max_chars - (len(crumb) + 2 if crumb else 0))
-        step = max(room // 2, room - self.s.overlap, 1)
-        windows = [body] if len(body) <= room else [body[i : i + room] for i in range(0, max(1, len(body) - (room - step)), step)]
+        head = f"{crumb}\n\n" if crumb else ""
+        windows = [head + body] if self.b.size(head + body) <= self.b.limit else self.b.windows(body, head)
         for w in windows:
-            self.pieces.append(Piece(f"{crumb}\n\n{w}" if crumb else w, blocks, path, section, context if len(context) > len(w) else "", kind, row))
+            self.pieces.append(Piece(w, blocks, path, section, context if len(context) > len(w) - len(head) else "", kind, row))
 
 
-def chunk_blocks(blocks: list[Block], settings: ChunkSettings, title: str | None = None) -> list[Piece]:
+def chunk_blocks(blocks: list[Block], settings: ChunkSettings, title: str | None = None, budget: Budget | None = None, **options) -> list[Piece]:
     """Pieces of one document; headings alone are kept if there is nothing else."""
-    found = Chunker(settings, title).run(blocks)
-    return found or Chunker(settings, title).run(blocks, keep_headers=True)
+    found = Chunker(settings, title, budget, **options).run(blocks)
+    return found or Chunker(settings, title, budget, **options).run(blocks, keep_headers=True)
 
 
 def legacy_chunks(blocks: list[Block], settings: ChunkSettings) -> list[Piece]:
@@ -463,26 +541,61 @@ def document_title(blocks: list[Block]) -> str | None:
     return next((b.body for b in blocks if b.type == "heading" and b.body), None)
 
 
+SPREADSHEETS = (".xlsx", ".xlsm", ".xls")
+
+
+def _chunk_rows(doc: str, source: str | None, items: list[Block], settings: ChunkSettings, strategy: str) -> list[tuple]:
+    """Rows of ``CHUNK_SCHEMA`` of one document."""
+    title = document_title(items)
+    sheet = (source or "").lower().endswith(SPREADSHEETS)
+    pieces = legacy_chunks(items, settings) if strategy == "legacy" else chunk_blocks(items, settings, title, spreadsheet=sheet)
+    rows = []
+    for n, p in enumerate(pieces, 1):
+        types = list(dict.fromkeys(b.type for b in p.blocks))
+        pages = sorted({b.page for b in p.blocks if b.page is not None})
+        meta = {"source_file": source, "block_type": types[0] if len(types) == 1 else "mixed", "doc_title": title, "section": p.section, "heading_path": p.path, "page_numbers": pages, "representation": p.representation, "row_index": p.row}
+        meta = json.dumps({k: v for k, v in meta.items() if v not in (None, [])}, ensure_ascii=False, sort_keys=True)
+        rows.append((doc, n, f"{p.blocks[0].id}-chunk-{n}", p.text, p.context or None, source, p.section, p.path, [b.id for b in p.blocks], types, pages, p.representation, p.row, meta))
+    return rows
+
+
+_NAMES = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", CHUNK_SCHEMA).split(",")]
+
+
 def chunk_documents(blocks: DataFrame, settings: ChunkSettings = ChunkSettings(), strategy: str = "structured") -> DataFrame:
     """Chunks of every document: ``blocks`` has doc_id, ord, block_id, text, type, level, page_number, source_file."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        doc, source = str(pdf["doc_id"].iloc[0]), pdf["source_file"].iloc[0]
         number = lambda v: None if pd.isna(v) else int(v)
         items = [Block(r.block_id, r.text or "", r.type, number(r.level), number(r.page_number)) for r in pdf.itertuples()]
-        title = document_title(items)
-        pieces = legacy_chunks(items, settings) if strategy == "legacy" else chunk_blocks(items, settings, title)
-        rows = []
-        for n, p in enumerate(pieces, 1):
-            types = list(dict.fromkeys(b.type for b in p.blocks))
-            pages = sorted({b.page for b in p.blocks if b.page is not None})
-            meta = {"source_file": source, "block_type": types[0] if len(types) == 1 else "mixed", "doc_title": title, "section": p.section, "heading_path": p.path, "page_numbers": pages, "representation": p.representation, "row_index": p.row}
-            meta = json.dumps({k: v for k, v in meta.items() if v not in (None, [])}, ensure_ascii=False, sort_keys=True)
-            rows.append((doc, n, f"{p.blocks[0].id}-chunk-{n}", p.text, p.context or None, source, p.section, p.path, [b.id for b in p.blocks], types, pages, p.representation, p.row, meta))
-        names = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", CHUNK_SCHEMA).split(",")]
-        frame = pd.DataFrame(rows, columns=names)
+        frame = pd.DataFrame(_chunk_rows(str(pdf["doc_id"].iloc[0]), pdf["source_file"].iloc[0], items, settings, strategy), columns=_NAMES)
         frame["row_index"] = frame["row_index"].astype("Int32")
         return frame
 
     return blocks.groupBy("doc_id").applyInPandas(one, CHUNK_SCHEMA)
+
+
+def chunk_texts(docs: DataFrame, id_col: str, text_col: str, source_col: str, suffix: str = "txt", settings: ChunkSettings = ChunkSettings(), strategy: str = "structured", profile: str = "structured") -> DataFrame:
+    """Chunks of texts that are one row each, parsed and chunked where they lie, without a shuffle.
+
+    The rows are those of ``chunk_documents`` on the parsed blocks, for rows
+    with distinct ids; rows that repeat an id are documents of their own here.
+    """
+    from ..sources.files import parse
+
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 5, *[pa.list_(pa.string())] * 3, pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for doc, source, content in zip(*(batch.column(i).slice(at, 64).to_pylist() for i in range(3)), strict=True):
+                    found = parse(content or "", suffix, profile)
+                    items = [Block(f"block-{n}", text, kind, level, extra.get("page_number")) for n, (kind, text, level, extra) in enumerate(found, 1)]
+                    rows += _chunk_rows(doc, source, items, settings, strategy)
+                columns = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
+
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).cast("string").alias("source_file"), F.col(text_col).cast("string").alias("content"))
+    return texts.mapInArrow(run, CHUNK_SCHEMA)

@@ -376,8 +376,7 @@ def block_histogram(spark, sf_dir):
 @_query()
 def chunk_documents(spark, sf_dir):
     """Chunks of all documents read as plain text."""
-    parsed = files.text_blocks(_t(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return chunking.chunk_documents(parsed, ChunkSettings())
+    return chunking.chunk_texts(_t(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
 @_query()

@@ -29,7 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ChunkSettings:
-    """Budgets of the chunker, in characters."""
+    """Budgets of the chunker: in characters, or in tokens where a tokenizer's file is named.
+
+    In tokens the limit is ``max_tokens``, or else the smaller of the
+    tokenizer's own window and ``target_tokens``; the overlap keeps its share.
+    """
 
     max_chars: int = 1000
     overlap: int = 100
@@ -38,6 +42,9 @@ class ChunkSettings:
     formulas: str = "inline"  # or "context"
     row_records: bool = True
     table_profiles: bool = True
+    max_tokens: int | None = None
+    tokenizer: str | None = None
+    target_tokens: int = 480
 
     def __post_init__(self):
         if self.max_chars <= 0:
@@ -46,6 +53,8 @@ class ChunkSettings:
             raise ValueError("overlap must be from 0 to below max_chars")
         if self.min_chars is not None and self.min_chars < 0:
             raise ValueError("min_chars must not be negative")
+        if self.max_tokens is not None and self.max_tokens <= 0:
+            raise ValueError("max_tokens must be positive")
         if self.formulas not in ("inline", "context"):
             raise ValueError("formulas must be inline or context")
 

@@ -51,7 +51,7 @@ def blocks_of(rows: DataFrame, profile: str = "structured") -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 doc, source, suffix, content = (batch.column(i)[at].as_py() for i in range(4))
-                found = parse(content or ("" if isinstance(content, str) or content is None else b""), suffix, profile) if content else []
+                found = parse(content or "", suffix, profile) if content or suffix == "txt" else []
                 out = []
                 for n, (kind, text, level, extra) in enumerate(found, 1):
                     meta = {k: v for k, v in extra.items() if v is not None}

@@ -8,25 +8,28 @@ files in Arrow batches.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import cached_property
 
 Parsed = tuple[str, str, int | None, dict]
 
-# Encodings tried in order, and patterns of plain text.
+# Encodings tried in order, and patterns and limits of plain text.
 ENCODINGS = ("utf-8-sig", "utf-16", "cp1251", "koi8-r", "cp866", "latin-1")
 _STAMP = re.compile(r"^\s*\[?(\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?\]?\s*(-->.*)?\s*")
 _RULE = re.compile(r"^\s*[-=_*~]{4,}\s*$")
 _STARRED = re.compile(r"^\s*\*+\s*(.+?)\s*\*+\s*$")
 _KEY_VALUE = re.compile(r"^\s*[^\w\s]{0,3}\s*[\w .()/-]{2,40}:\s+\S")
 _ENDS = re.compile(r"[.!?…]\s*$")
+_LETTER = re.compile(r"[^\W\d_]")
 _NUMBERED = re.compile(r"^\s*(\d+(?:\.\d+)*)[.)]?\s+\S")
 _TOP = re.compile(r"^\s*(глава|раздел|часть|chapter|part|лекция|lecture|тема|topic|модуль|module)\b", re.IGNORECASE)
 _ROMAN = re.compile(r"^\s*[IVXLC]+[.)]\s+\S")
 TITLE_KEYS = ("title:", "название:", "тема:")
+OPENERS = "[(\"'«"
 WORDS_PER_BLOCK, MOST_WORDS = 140, 210
+TITLE_CHARS, NAME_CHARS, NUMBERED_WORDS, NAME_WORDS, BODY_CHARS, INDENT, TAB = 90, 60, 12, 6, 40, 2, 4
 # End of fixed values.
 
-_EMOJI = re.compile(r"^[^\w\s\"'«(\[#*_-]+\s*")
-
 
 def decode(data: bytes) -> str:
     """Text of a file of unknown encoding."""
@@ -54,94 +57,142 @@ def is_transcript(lines: list[str]) -> bool:
     return len(some) >= 10 and sum(bool(_STAMP.match(x)) for x in some) >= 0.6 * len(some)
 
 
-def parse_transcript(lines: list[str]) -> list[Parsed]:
-    """Captions packed to about 140 words that end a sentence, 210 at most, with the first stamp."""
-    out: list[Parsed] = []
-    header, words, stamp = [], [], None
-    started = False
+def _bare(line: str) -> str:
+    """A header line without the signs before its first letter, digit or bracket; as it is if nothing is left."""
+    first = next((i for i, c in enumerate(line) if c.isalnum() or c in OPENERS), len(line))
+    return line[first:] or line
 
-    def flush() -> None:
-        nonlocal words, stamp
-        if words:
-            out.append(("text", " ".join(words), None, {"time_start": stamp}))
-        words, stamp = [], None
 
-    for line in lines:
+def parse_transcript(lines: list[str]) -> list[Parsed]:
+    """A title, what stands before the captions, and captions joined to blocks.
+
+    A block ends with the caption that brings it to 140 words and ends a
+    sentence, or to 210 words; it carries its first time stamp.
+    """
+    header: list[str] = []
+    out: list[Parsed] = []
+    words: list[str] = []
+    start = None
+    for line in filter(str.strip, lines):
         m = _STAMP.match(line)
-        if not m:
-            if not started and line.strip():
-                header.append(_EMOJI.sub("", line.strip()))
-            continue
-        started = True
-        said = line[m.end() :].split()
+        said = line[m.end() :].split() if m else []
+        if not m and start is None and not out:
+            header.append(_bare(line.strip()))
         if not said:
             continue
-        if words and len(words) + len(said) > MOST_WORDS:
-            flush()
-        stamp = stamp or m[0].strip().strip("[]").split("-->")[0].strip().strip("[]")
+        if start is None:
+            start = m[0].strip().strip("[]").split("-->")[0].strip()
         words += said
-        if len(words) >= MOST_WORDS or (len(words) >= WORDS_PER_BLOCK and _ENDS.search(words[-1])):
-            flush()
-    flush()
-    title = next((h.split(":", 1)[1].strip() for h in header if h.lower().startswith(TITLE_KEYS)), None)
-    head: list[Parsed] = [("heading", title, 1, {})] if title else []
-    rest = [h for h in header if not h.lower().startswith(TITLE_KEYS)]
-    return head + ([("text", "\n".join(rest), None, {})] if rest else []) + out
-
-
-def _heading(lines: list[str], at: int) -> tuple[str, int] | None:
-    """A line's title and level if it stands like a heading."""
-    line = lines[at].strip()
-    if not line or len(line) > 120:
-        return None
-    before = at == 0 or not lines[at - 1].strip() or bool(_RULE.match(lines[at - 1]))
-    after = at + 1 == len(lines) or not lines[at + 1].strip() or bool(_RULE.match(lines[at + 1]))
-    if m := _STARRED.match(line):
-        return m[1].strip(), 2
-    if at + 1 < len(lines) and re.match(r"^\s*[=\-]{4,}\s*$", lines[at + 1]) and before:
-        return line, 1 if "=" in lines[at + 1] else 2
-    if not (before and after) or _KEY_VALUE.match(line) or line[-1] in ".!?;,":
-        return None
-    letters = [c for c in line if c.isalpha()]
-    if not letters or len(line.split()) > 16:
+        if len(words) >= MOST_WORDS or len(words) >= WORDS_PER_BLOCK and _ENDS.search(words[-1]):
+            out.append(("text", " ".join(words), None, {"time_start": start}))
+            words, start = [], None
+    if words:
+        out.append(("text", " ".join(words), None, {"time_start": start}))
+    front: list[Parsed] = [("text", "\n".join(header), None, {"transcript_header": True})] if header else []
+    title = next((h.partition(":")[2].strip() for h in header if h.lower().startswith(TITLE_KEYS)), "")
+    return ([("heading", title, 1, {})] if title else []) + front + out
+
+
+@dataclass(frozen=True)
+class _Line:
+    """A line, and what the rules ask of it."""
+
+    raw: str
+
+    @cached_property
+    def text(self) -> str:
+        return self.raw.strip()
+
+    @cached_property
+    def indented(self) -> bool:
+        return bool(self.text) and len(self.raw) - len(self.raw.lstrip()) >= INDENT
+
+    @cached_property
+    def ends(self) -> bool:
+        return bool(_ENDS.search(self.text))
+
+    @cached_property
+    def starred(self) -> str | None:
+        m = _STARRED.match(self.text)
+        return " ".join(m[1].split()) if m and _LETTER.search(m[1]) else None
+
+    @cached_property
+    def rule(self) -> bool:
+        return bool(_RULE.match(self.raw))
+
+
+_NOTHING = _Line("")
+
+
+class _Prose:
+    """Headings and paragraphs of wrapped text."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = [_Line(x) for x in lines]
+
+    def _near(self, at: int) -> _Line:
+        return self.lines[at] if 0 <= at < len(self.lines) else _NOTHING
+
+    def _stands_alone(self, at: int, body: bool = False) -> bool:
+        """After a break, a title or a finished paragraph, and before body text (``body``: it must come)."""
+        last, following = self._near(at - 1), self._near(at + 1)
+        title_above = _STARRED.match(last.raw) or (len(last.text) <= NAME_CHARS and not last.ends)
+        if not (not last.text or last.rule or title_above or (last.ends and following.indented)):
+            return False
+        if following.text:
+            return len(following.text) > BODY_CHARS or following.indented
+        return not body or any(self._near(at + n).text for n in (1, 2, 3))
+
+    def heading(self, at: int) -> tuple[str, int] | None:
+        """Title and level of a line that is a heading: starred, in capitals, numbered, or a short name over body text."""
+        line = self.lines[at]
+        text = line.text
+        if line.starred:
+            return line.starred, 1
+        short = len(text) <= TITLE_CHARS
+        numbered = heading_level(text) if short and (not line.ends or text.endswith(":")) else None
+        capitals = short and len(_LETTER.findall(text)) > 2 and text.upper() == text and text[-1] not in ".,;"
+        if capitals and self._stands_alone(at):
+            return text, numbered or 1
+        words = len(text.split())
+        if numbered and words <= NUMBERED_WORDS and self._stands_alone(at):
+            return text, numbered
+        name = len(text) <= NAME_CHARS and words <= NAME_WORDS and not text[0].islower() and text[-1] not in ".,;:!?"
+        if name and _LETTER.search(text) and not _KEY_VALUE.match(text) and self._stands_alone(at, body=True):
+            return text, 2
         return None
-    if all(c == c.upper() and c != c.lower() for c in letters) and len(letters) > 2:
-        return line, 1
-    if (level := heading_level(line)) is not None:
-        return line, level
-    follows = any(x.strip() for x in lines[at + 1 : at + 4])
-    return (line, 2) if follows and len(line) <= 60 and len(line.split()) <= 8 and line[0].isupper() else None
+
+    def blocks(self) -> list[Parsed]:
+        out: list[Parsed] = []
+        held: list[str] = []
+
+        def close() -> None:
+            if held:
+                out.append(("text", " ".join(" ".join(held).split()), None, {}))
+                held.clear()
+
+        for at, line in enumerate(self.lines):
+            if not line.text or _RULE.match(line.text):
+                close()
+            elif found := self.heading(at):
+                close()
+                out.append(("heading", *found, {}))
+            else:
+                if line.indented and not self._near(at - 1).indented:
+                    close()  # an indented line after a flush one opens a paragraph
+                held.append(line.text)
+        close()
+        return out
 
 
 def parse_prose(lines: list[str]) -> list[Parsed]:
     """Paragraphs with wrapped lines joined, between headings."""
-    out: list[Parsed] = []
-    now: list[str] = []
-    indent = 0
-
-    def flush() -> None:
-        if now:
-            out.append(("text", " ".join(x.strip() for x in now), None, {}))
-            now.clear()
-
-    for at, line in enumerate(lines):
-        if not line.strip() or _RULE.match(line):
-            flush()
-        elif found := _heading(lines, at):
-            flush()
-            out.append(("heading", found[0], found[1], {}))
-        else:
-            depth = len(line) - len(line.lstrip())
-            if now and depth > indent and len(now) > 1:
-                flush()
-            indent = depth
-            now.append(line)
-    flush()
-    return out
+    return _Prose(lines).blocks()
 
 
 def parse_text(text: str, profile: str = "structured") -> list[Parsed]:
+    """Blocks of a plain text; one without any block is one empty block."""
     if profile == "legacy":
         return [("text", text.strip(), None, {})] if text.strip() else []
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    return parse_transcript(lines) if is_transcript(lines) else parse_prose(lines)
+    lines = [x.rstrip() for x in text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " " * TAB).split("\n")]
+    return (parse_transcript(lines) if is_transcript(lines) else parse_prose(lines)) or [("text", text.strip(), None, {})]

@@ -80,7 +80,7 @@ def test_sentences_lines_and_words():
     assert parts == ["One two three. Four five six!", "Four five six! Seven eight nine?", "Ten."] or all(len(p) <= 37 for p in parts)
     assert c.pack_lines("a\n\nb\nc", 3, 0, False) == ["a\nb", "c"]
     assert c.hard_split("aa bb cc", 5, 0) == ["aa bb", "cc"]
-    assert c.hard_split("x" * 10, 4, 1) == ["xxxx", "xxxx", "xxxx"]
+    assert c.hard_split("x" * 10, 4, 1) == ["xxxx", "xxxx", "xxxx", "x"]
 
 
 def table(n, wide=False):
@@ -105,7 +105,7 @@ def test_records_profile_and_parents():
     assert [p.row for p in rows] == [1, 2, 3, 4, 5] and "id: 1; name: n1; value: 3" in rows[0].text and "| id |" in rows[0].context
     profile = next(p for p in pieces if p.representation == "profile")
     assert "value: min 3 (n1); max 15 (n5); sum 45; mean 9" in profile.text and "id: min" not in profile.text
-    assert c.parent_window(["a" * 10, "b" * 10, "c" * 10], 1, "H", 30) == "H\n\n" + "a" * 10 + "\n\n" + "b" * 10
+    assert c.parent_window(["a" * 10, "b" * 10, "c" * 10], 1, 2, "H", 30) == "H\n\n" + "a" * 10 + "\n\n" + "b" * 10
 
 
 def test_profile_rules():
@@ -126,3 +126,79 @@ def test_formulas_and_strategies(spark):
         assert out[0].chunk_id == "block-0-chunk-1" and out[0].block_types == ["text"] and "hello" in out[0].text
     with pytest.raises(ValueError):
         ChunkSettings(100, 100)
+
+
+def words(text):
+    return text.split()
+
+
+def in_tokens(limit=None, window=20):
+    return c.token_budget(ChunkSettings(max_tokens=limit), c.token_counter(words), window)
+
+
+def prose(*texts):
+    return [c.Block(f"b{i}", t, "text") for i, t in enumerate(texts)]
+
+
+def test_token_budgets():
+    numbered = prose(" ".join(f"item{i}" for i in range(70)))
+    for budget in (in_tokens(), in_tokens(9)):
+        pieces = c.chunk_blocks(numbered, ChunkSettings(), None, budget)
+        assert len(pieces) > 1 and all(len(words(p.text)) <= budget.limit for p in pieces)
+        assert {w for p in pieces for w in words(p.text)} == set(words(numbered[0].text))
+    assert in_tokens().overlap == 2 and in_tokens(9).limit == 9 and in_tokens(9).minimum == 3
+
+
+def test_no_chunk_exceeds_the_token_budget():
+    wide = "| " + " | ".join(f"cell {i}" for i in range(50)) + " |"
+    blocks = [c.Block("h", "Findings", "heading", 1), c.Block("t", "| x | y |\n| - | - |\n" + wide + "\n" + wide, "table"), *prose("y=" + "*".join(f"b{i}" for i in range(150)), "v" * 3000, " ".join(f"n{i}" for i in range(150)))]
+    pieces = c.chunk_blocks(blocks, ChunkSettings(), "Findings", in_tokens())
+    assert pieces and max(len(words(p.text)) for p in pieces) <= 20
+
+
+def test_windows_shrink_until_they_fit():
+    b = c.Budget(10, 3, 2, lambda t: sum(3 if x == "#" else 1 for x in t), 3)
+    text = "a" * 40 + "#" * 20
+    out = b.windows(text, "p ")
+    assert all(b.size(w) <= 10 and w.startswith("p ") for w in out)
+    assert c.Budget(4, 1, 1).windows("abcdefghij") == ["abcd", "defg", "ghij", "j"]
+
+
+def test_a_tokenizer_file_sets_the_budget():
+    import public_tokenizers
+
+    s = ChunkSettings(tokenizer=public_tokenizers.path("word_bpe_49k.json"), max_tokens=30)
+    size, _ = c._tokenizer(s.tokenizer)
+    pieces = c.chunk_blocks(prose("Some plain words are here, and more. " * 30), s)
+    assert len(pieces) > 3 and all(size(p.text) <= 30 for p in pieces)
+
+
+def test_topics_cut_long_texts():
+    text = " ".join(f"Sentence number {i} is here." for i in range(20))
+    out = c.pack_sentences(text, 120, 30, topics=lambda found: {10}, minimum=20)
+    assert any(p.startswith("Sentence number 10 ") for p in out) and not any("number 9 " in p and "number 10 " in p for p in out)
+    assert c.pack_sentences(text, 400, 0, topics=lambda found: 1 / 0) == c.pack_sentences(text, 400, 0)  # too short to ask
+
+
+def test_the_context_of_a_piece_holds_all_its_blocks():
+    blocks = [c.Block("h", "Head", "heading", 1), *prose(*[f"{i} " + "x" * 300 for i in range(12)])]
+    pieces = c.chunk_blocks(blocks, ChunkSettings(parent_chars=1500), None)
+    assert len(pieces) > 3 and all(b.body in p.context for p in pieces if p.context for b in p.blocks)
+
+
+def test_workbooks_get_no_second_profile():
+    t = [c.Block("t", table(8), "table")]
+    kinds = lambda rows: {r[11] for r in rows}
+    assert "profile" in kinds(c._chunk_rows("d", "a.md", t, ChunkSettings(), "structured"))
+    assert "profile" not in kinds(c._chunk_rows("d", "a.xlsx", t, ChunkSettings(), "structured"))
+
+
+def test_texts_are_chunked_where_they_lie(spark):
+    from lexiloom.sources import files
+
+    rows = [(i, f"TITLE NUMBER {i}\n\n" + "A sentence that is long enough to count. " * (i * 7), f"s{i}") for i in range(12)] + [(90, None, "s"), (91, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = c.chunk_texts(docs, "doc_id", "text", "source")
+    other = c.chunk_documents(files.text_blocks(docs, "doc_id", "text", "source"))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()

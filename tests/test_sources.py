@@ -16,7 +16,7 @@ def test_decoding():
 def test_transcript():
     lines = ["🎬 Title: My talk", "Channel: me"] + [f"[00:{i:02d}] " + "word " * 9 + "end." for i in range(30)] + ["dropped"]
     out = plain.parse_text("\n".join(lines))
-    assert out[0][:3] == ("heading", "My talk", 1) and out[1][1] == "Channel: me"
+    assert out[0][:3] == ("heading", "My talk", 1) and out[1][1] == "Title: My talk\nChannel: me"
     body = [b for b in out if b[3].get("time_start")]
     assert [b[3]["time_start"] for b in body] == ["00:00", "00:14", "00:28"] and len(body[0][1].split()) == 140
     assert "dropped" not in " ".join(b[1] for b in out)
@@ -24,8 +24,37 @@ def test_transcript():
 
 def test_prose():
     out = plain.parse_text("INTRODUCTION\n\nFirst line\nwrapped here.\n\n* CHAPTER NAME *\n\n1.2 Scope\n\nMore text follows here.\n\nTitle\n=====\nx y z.")
-    assert [(b[0], b[1]) for b in out] == [("heading", "INTRODUCTION"), ("text", "First line wrapped here."), ("heading", "CHAPTER NAME"), ("heading", "1.2 Scope"), ("text", "More text follows here."), ("heading", "Title"), ("text", "x y z.")]
+    assert [(b[0], b[1]) for b in out] == [("heading", "INTRODUCTION"), ("text", "First line wrapped here."), ("heading", "CHAPTER NAME"), ("heading", "1.2 Scope"), ("text", "More text follows here."), ("text", "Title"), ("text", "x y z.")]
+    assert [b[2] for b in out if b[0] == "heading"] == [1, 1, 2]
     assert plain.parse_text("a\nb", "legacy") == [("text", "a\nb", None, {})]
+    assert plain.parse_text(" \n\n") == [("text", "", None, {})] and plain.parse_text("", "legacy") == []
+
+
+def test_wrapped_books():
+    out = plain.parse_text(
+        "B. Author. A book about rivers and lakes\n----------------------------------------------\n *** THE SEAS ***\nAmber\n"
+        "   Amber is what the sea brings up after a long storm,\nand people have looked for it on the shore\nsince there were people there.\n"
+        "   In winter it is seldom found, as the ice\nkeeps the waves away from the land.\nKelp\n\tKelp grows where the water is cold.\nNote: this line holds a key.\n"
+    )
+    assert [(b[1], b[2]) for b in out if b[0] == "heading"] == [("B. Author. A book about rivers and lakes", 2), ("THE SEAS", 1), ("Amber", 2), ("Kelp", 2)][-3:]
+    texts = [b[1] for b in out if b[0] == "text"]
+    assert "Amber is what the sea brings up after a long storm, and people have looked for it on the shore since there were people there." in texts
+    assert any(t.startswith("In winter it is seldom found") for t in texts) and any(t.startswith("Kelp grows") for t in texts)
+
+
+def test_what_isnt_a_heading():
+    body = "\n\n" + "Body text that is clearly longer than forty characters, as it should be."
+    kinds = lambda line: plain.parse_text(line + body)[0][:1] + plain.parse_text(line + body)[0][2:3]
+    assert kinds("Some seven words of a short line") == ("text", None)
+    assert kinds("One two three four five six") == ("heading", 2)
+    assert kinds("Key: value") == kinds("It ends here.") == kinds("lower case") == kinds("With a colon:") == ("text", None)
+    assert kinds("3.1.4 A numbered one") == ("heading", 3) and kinds("CHAPTER TWO") == ("heading", 1) and kinds("* starred *") == ("heading", 1)
+
+
+def test_transcripts_without_sentence_ends():
+    lines = [f"{i:02d}:00 " + "word " * 30 for i in range(12)]
+    sizes = [len(b[1].split()) for b in plain.parse_text("\n".join(lines))]
+    assert sizes == [210, 150]  # a caption is never cut: seven reach 210
 
 
 def test_markdown():
