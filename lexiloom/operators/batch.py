@@ -108,18 +108,18 @@ def totals(results: DataFrame) -> DataFrame:
 
 
 def dataset_fingerprint(questions: DataFrame, block_rows: int = 100_000) -> DataFrame:
-    """``sha256`` over the canonical JSON of all rows in order.
+    """``sha256`` of a question set in row order.
 
-    Rows are digested in blocks of ``block_rows`` and the blocks' digests
-    together, so that no task holds the whole set; a set of up to one block has
-    the digest of its lines.
+    Each row is its canonical JSON and a line feed.  Lines are digested in
+    blocks of ``block_rows`` by ``row_index``, and the blocks' hexadecimal
+    digests, joined, once more: one definition at every size, and no task holds
+    the whole set.
     """
     line = F.concat(F.to_json(F.struct("answer", "doc_ids", "id", "question")), F.lit("\n"))
     blocks = questions.select(F.floor(F.col("row_index") / block_rows).alias("b"), F.struct("row_index", line.alias("j")).alias("r"))
     digests = blocks.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["j"]), ""), 256).alias("d"))
     both = digests.agg(F.sort_array(F.collect_list(F.struct("b", "d"))).alias("all"))
-    joined = F.array_join(F.transform("all", lambda x: x["d"]), "")
-    return both.select(F.when(F.size("all") == 1, joined).otherwise(F.sha2(joined, 256)).alias("sha256"))
+    return both.select(F.sha2(F.array_join(F.transform("all", lambda x: x["d"]), ""), 256).alias("sha256"))
 
 
 def positions(records: DataFrame) -> DataFrame:

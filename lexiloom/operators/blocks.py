@@ -101,9 +101,10 @@ def merge_adjacent(blocks: DataFrame) -> DataFrame:
 def document_titles(blocks: DataFrame, first: int = 12, longest: int = 200) -> DataFrame:
     """``doc_id, title``: the first telling heading among the first blocks; long ones only if there is no other."""
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    title = strip(F.col("text"))
-    good = blocks.withColumn("_nth", nth).where((F.col("_nth") <= first) & (F.col("type") == "heading") & (title != "") & ~F.lower(title).isin(*GENERIC_TITLES))
-    return good.groupBy("doc_id").agg(F.min(F.struct((F.length(title) > longest).alias("long"), "ord", title.alias("title"))).alias("t")).select("doc_id", F.col("t.title").alias("title"))
+    title = strip(F.regexp_replace("text", r"(?U)\s+", " "))
+    named = (title != "") & ~F.lower(F.btrim(title, F.lit(" .:"))).isin(*GENERIC_TITLES)
+    good = blocks.withColumn("_nth", nth).where((F.col("_nth") <= first) & (F.col("type") == "heading") & named)
+    return good.groupBy("doc_id").agg(F.min(F.struct((F.length(title) > longest).alias("long"), "ord", F.left(title, F.lit(longest)).alias("title"))).alias("t")).select("doc_id", F.col("t.title").alias("title"))
 
 
 def heading_titles(blocks: DataFrame, metadata_title: str | None = None) -> DataFrame:

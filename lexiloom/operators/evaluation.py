@@ -80,11 +80,20 @@ def chunk_audit(chunks: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def findings(violations: DataFrame, samples: int = 3) -> DataFrame:
-    """``rule, n, samples``: counts by rule with a few details each."""
-    nth = F.row_number().over(Window.partitionBy("rule").orderBy("key", "detail"))
-    kept = violations.groupBy("rule", "key", "detail").agg(F.count(F.lit(1)).alias("k")).withColumn("_nth", nth)
-    return kept.groupBy("rule").agg(F.sum("k").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_nth") <= samples, F.col("detail")))).alias("samples"))
+def findings(violations: DataFrame, samples: int = 3, salts: int = 64) -> DataFrame:
+    """``rule, n, samples``: counts by rule with its first few details.
+
+    A rule's rows are dealt over ``salts`` groups first, each of which passes
+    on its own first details, so that a rule broken everywhere isn't sorted by
+    one task.
+    """
+    salted = violations.withColumn("_salt", F.pmod(F.xxhash64("key", "detail"), F.lit(salts)))
+    within = Window.partitionBy("rule", "_salt").orderBy("key", "detail")
+    distinct = salted.groupBy("rule", "_salt", "key", "detail").agg(F.count(F.lit(1)).alias("k")).withColumn("_nth", F.row_number().over(within))
+    first = F.when(F.col("_nth") <= samples, F.struct("key", "detail"))
+    parts = distinct.groupBy("rule", "_salt").agg(F.sum("k").alias("n"), F.collect_list(first).alias("f"))
+    whole = parts.groupBy("rule").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("f"))), 1, samples).alias("f"))
+    return whole.select("rule", "n", F.sort_array(F.filter(F.transform("f", lambda x: x["detail"]), lambda d: d.isNotNull())).alias("samples"))
 
 
 def coverage(sentences: DataFrame, chunks: DataFrame) -> DataFrame:

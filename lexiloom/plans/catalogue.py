@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, vectors
 from ..operators import answers, batch, blocks, chunking, evaluation, search, sections, tables
-from ..session import ChunkSettings, SearchSettings, spread
-from ..sources import files
+from ..session import ChunkSettings, SearchSettings, shared_folder, spread, version_of
+from ..sources import files, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -74,8 +74,22 @@ h AS (SELECT item_id, doc_id, source, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
       FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)"""
 
 
-def _bm25(spark, sf_dir):
-    return search.bm25(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir) -> search.Index:
+    """The stored index of documents; written once a session for each version of the table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = (spark.sparkContext.applicationId, version_of(docs))
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{'-'.join(key)}"
+        sinks.write_postings(_t(spark, sf_dir, "documents"), path, "doc_id", "text")
+        _INDEXES[key] = path
+    return sinks.stored_index(spark, _INDEXES[key])
+
+
+def _benchmark(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark")
 
 
 @_query(f"""
@@ -84,7 +98,7 @@ SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, rank FROM r
 """)
 def lexical_search(spark, sf_dir):
     """The five best documents by BM25 for every benchmark text."""
-    hits = _bm25(spark, sf_dir).withColumn("score", F.round("score", 9))
+    hits = search.bm25_top(_benchmark(spark, sf_dir), _index(spark, sf_dir), "item_id", "text", 5).withColumn("score", F.round("score", 9))
     return search.ranked(hits, 5).withColumn("score", F.round("score", 6))
 
 
@@ -95,7 +109,7 @@ SELECT item_id AS query_id, doc_id AS id, rank FROM r WHERE rank <= 5
 def source_prefilter(spark, sf_dir):
     """Hits within one source: filtered before ranking; statistics are the corpus's."""
     one = _t(spark, sf_dir, "documents").where(F.col("source") == "src3").select(F.col("doc_id").alias("id"))
-    hits = _bm25(spark, sf_dir).join(one, "id", "left_semi").withColumn("score", F.round("score", 9))
+    hits = search.bm25_top(_benchmark(spark, sf_dir), _index(spark, sf_dir).within(one), "item_id", "text", 5).withColumn("score", F.round("score", 9))
     return search.ranked(hits, 5).select("query_id", "id", "rank")
 
 
@@ -123,13 +137,10 @@ z AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 
 
 def _fused(spark, sf_dir):
-    docs, q = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    a = search.ranked(_bm25(spark, sf_dir).withColumn("score", F.round("score", 9)), 20)
-    terms = q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    b = search.ranked(words.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score")), 20)
-    fused = search.fuse([a, b], weights=[1.0, 0.5]).withColumn("score", F.round("score", 12))
-    return fused
+    index, q = _index(spark, sf_dir), _benchmark(spark, sf_dir)
+    a = search.ranked(search.bm25_top(q, index, "item_id", "text", 20).withColumn("score", F.round("score", 9)), 20)
+    b = search.ranked(search.shared_terms(q, index, "item_id", "text"), 20)
+    return search.fuse([a, b], weights=[1.0, 0.5]).withColumn("score", F.round("score", 12))
 
 
 @_query(_LISTS + " SELECT item_id AS query_id, doc_id AS id, round(score, 9) AS score, rank FROM z WHERE rank <= 10")
@@ -518,16 +529,23 @@ def benchmark_overlap(spark, sf_dir):
     """Documents that hold a benchmark text verbatim.
 
     Candidates share a run of three words from inside the text with a
-    document, so the containment test runs on few pairs.
+    document, so the containment test runs on few pairs.  A text of fewer than
+    five words has no such run; it is looked for in every document.
     """
     # explode(array(x)) keeps the words from being split again for every run
     run = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " "))
-    split = lambda df, key: df.select(key, F.explode(F.array(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("w")).select(key, run.alias("runs"))
-    b = split(_t(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.explode(F.slice("runs", 2, 1)).alias("run"))
-    d = split(_t(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.explode(F.array_distinct("runs")).alias("run"))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    split = lambda df, key: df.select(key, F.explode(F.array(words)).alias("w")).select(key, run.alias("runs"))
+    bench, docs = _t(spark, sf_dir, "benchmark").where("text is not null"), _t(spark, sf_dir, "documents")
+    b = split(bench.where(F.size(words) >= 5), "item_id").select("item_id", F.explode(F.slice("runs", 2, 1)).alias("run"))
+    d = split(docs, "doc_id").select("doc_id", F.explode(F.array_distinct("runs")).alias("run"))
     pairs = d.join(b, "run").select("doc_id", "item_id").distinct()
-    full = pairs.join(_t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b")), "item_id").join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return full.where(F.contains("text", F.col("b"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = bench.select("item_id", F.col("text").alias("b"))
+    full = pairs.join(texts, "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("b"))).select("item_id", "doc_id")
+    # a bounded part of the question set against all rows
+    short = F.broadcast(texts.where(F.size(F.regexp_extract_all("b", F.lit(r"\S+"), F.lit(0))) < 5))
+    few = docs.join(short, F.contains(docs["text"], short["b"])).select("item_id", "doc_id")
+    return full.unionByName(few).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query()

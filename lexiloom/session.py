@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import tempfile
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "lexiloom", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -27,6 +30,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors see: ``spark.checkpoint.dir``, or on a local master a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "lexiloom-shared")
+
+
+def version_of(table: DataFrame) -> str:
+    """A digest of a table's files: their names, sizes and times of change."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time").alias("t")).distinct()
+    found = files.agg(F.bit_xor(F.xxhash64("file_path", "file_size", "t")).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    return f"{found.n}-{(found.x or 0) & (1 << 64) - 1:016x}"
+
+
 @dataclass(frozen=True)
 class ChunkSettings:
     """Budgets of the chunker: in characters, or in tokens where a tokenizer's file is named.

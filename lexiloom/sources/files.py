@@ -96,13 +96,22 @@ def match_documents(records: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A question set (Parquet or JSON lines) with ``row_index`` in file order."""
+    """A question set (Parquet or JSON lines) with ``row_index`` in file order.
+
+    Rows are numbered within their part of a file; the parts, which are few,
+    get the numbers before them from their counts.
+    """
     rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
-    order = Window.orderBy("_n")
     if "row_index" in rows.columns:
         return rows
-    # a question set is small enough to be numbered by one task
-    return rows.withColumn("_n", F.monotonically_increasing_id()).withColumn("row_index", F.row_number().over(order) - 1).drop("_n")
+    part = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
+    kept = F.struct(*rows.columns).alias("_row")
+    parts = rows.select(kept, part.alias("_part"), F.monotonically_increasing_id().alias("_n"))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = counts.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_n")) - 1
+    numbered = parts.withColumn("_nth", nth).join(before, "_part")
+    return numbered.select("_row.*", (F.col("_before") + F.col("_nth")).cast("long").alias("row_index"))
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_search
-from ..operators.search import postings, term_statistics
+from ..operators.search import Index, postings, term_statistics
 
 ANSWER_SCHEMA = (
     "id string, question string, answer string, doc_ids array<string>, answer_model string, "
@@ -21,9 +21,25 @@ ANSWER_SCHEMA = (
 def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id") -> None:
     """Chunks with their search text, postings and term statistics, replacing what was there."""
     chunks.withColumn("fts_text", normalize_for_search(F.col("text"))).write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    postings(stored, id_col, "text").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    term_statistics(chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+    write_postings(chunks.sparkSession.read.parquet(f"{path}/chunks"), path, id_col, "text")
+
+
+def write_postings(texts: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """The part of an index that search reads: the texts are tokenised once.
+
+    Postings lie in ranges of (term, id), so a term of every text is spread.
+    """
+    spark = texts.sparkSession
+    postings(texts, id_col, text_col).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    term_statistics(stored).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths = stored.groupBy("id").agg(F.first("dl").alias("dl"))
+    lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def stored_index(spark: SparkSession, path: str) -> Index:
+    """The index that ``write_index`` or ``write_postings`` left in ``path``."""
+    return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")))
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ DOCS = [(1, "alpha beta beta gamma"), (2, "beta delta"), (3, "epsilon zeta zeta
 def test_bm25_formula(spark):
     docs = spark.createDataFrame(DOCS, "id long, text string")
     q = spark.createDataFrame([(7, "alpha beta unknown")], "q long, text string")
-    got = {r.id: r.score for r in search.bm25(q, docs, "q", "text", "id", "text").collect()}
+    got = {r.id: r.score for r in search.bm25(q, search.index_of(docs, "id", "text"), "q", "text").collect()}
     bags = {i: re.findall(r"\w+", t) for i, t in DOCS}
     avg = sum(map(len, bags.values())) / 4
     for i, words in bags.items():
@@ -114,3 +114,37 @@ def test_cached_calls(spark):
     out, fresh = answers.cached_calls(req, cache, Model("r"))
     assert out.count() == 3 and fresh.count() == 2
     assert answers.cached_calls(req, fresh, Model("other"))[1].count() == 0
+
+
+def test_stored_index_and_upper_bounds_change_nothing(spark, tmp_path):
+    import random
+
+    from lexiloom.sources import sinks
+
+    rng = random.Random(3)
+    rare = [f"r{i}" for i in range(300)]
+    text = lambda: " ".join(rng.choices(["the", "of", "and", "in"], k=rng.randrange(1, 40)) + rng.choices(rare, k=rng.randrange(0, 12)))
+    docs = spark.createDataFrame([(i, text(), f"s{i % 3}") for i in range(400)] + [(900, None, "s"), (901, "", "s")], "id long, text string, source string")
+    queries = spark.createDataFrame([(i, text()) for i in range(25)] + [(50, "the of"), (51, "nowhere"), (52, ""), (53, "r1 r2 the")], "q long, text string")
+    sinks.write_postings(docs, str(tmp_path / "i"), "id", "text")
+    index = sinks.stored_index(spark, str(tmp_path / "i"))
+
+    def best(hits, depth=7):
+        return sorted((r.query_id, r.rank, r.id, round(r.score, 8)) for r in search.ranked(hits.withColumn("score", F.round("score", 9)), depth).collect())
+
+    plain = best(search.bm25(queries, search.index_of(docs, "id", "text"), "q", "text"))
+    assert best(search.bm25_top(queries, index, "q", "text", 7)) == plain and len(plain) > 150
+    assert best(search.bm25_top(queries, index, "q", "text", 7, common=0.0)) == plain
+    one = docs.where("source = 's1'").select("id")
+    narrowed = best(search.bm25(queries, index, "q", "text").join(one, "id", "left_semi"))
+    assert best(search.bm25_top(queries, index.within(one), "q", "text", 7)) == narrowed
+    chunks = docs.select(F.col("id").cast("string").alias("chunk_id"), "text", F.col("source").alias("source_file"), F.lit(None).cast("string").alias("context"))
+    asked = queries.select(F.col("q").alias("query_id"), F.lit(0).alias("formulation"), "text")
+    sinks.write_index(chunks, str(tmp_path / "c"))
+    stored = sinks.stored_index(spark, str(tmp_path / "c"))
+    for source in (None, "s1"):
+        a, b = (sorted((r.query_id, r.rank, r.chunk_id) for r in search.search(asked, chunks, source=source, index=i).collect()) for i in (None, stored))
+        if source is None:
+            assert a == b
+        else:
+            assert {q for q, _, _ in a} == {q for q, _, _ in b}  # statistics of the corpus, not of the source
