@@ -256,7 +256,12 @@ def heading_candidates(spark, sf_dir):
     return lines.where(text.looks_like_heading(F.col("line"))).select("doc_id", (F.col("pos") + 1).alias("pos"), text.heading_level(F.col("line")).alias("level"))
 
 
-@_query()
+@_query(r"""
+WITH g AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^\pL\pN\pM_])(т|т\.е|т\.к|т\.д|т\.п|др|пр|см|стр|рис|табл|гл|п|пп|ст|г|гг|в|вв|тыс|млн|млрд|руб|коп|им|напр|ул|д|корп|e\.g|i\.e|etc|vs|fig|no|approx|dr|mr|mrs|ms|prof|vol|pp)\.\s', '\1\2.' || chr(160), 'g') AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([.!?…])[\t\n\v\f\r ]+([^\sa-zа-яё])', '\1' || chr(10) || '\2', 'g'), '([.!?…])[\t\n\v\f\r ]+([^\sa-zа-яё])', '\1' || chr(10) || '\2', 'g') AS t FROM g),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(replace(x, chr(160), ' '), chr(9) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: x <> '') AS a FROM c)
+SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS sentence FROM p
+""")
 def sentences(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -316,7 +321,11 @@ def row_records(spark, sf_dir):
     return tables.row_records(_t(spark, sf_dir, "supplier"), "s_suppkey", ["s_name", "s_nationkey", "s_suppkey"], "supplier")
 
 
-@_query()
+@_query(r"""
+WITH c AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_acctbal = floor(s_acctbal) THEN printf('%.0f', s_acctbal) ELSE regexp_replace(printf('%.6f', s_acctbal), '\.?0+$', '') END AS bal, s_name FROM supplier),
+m AS (SELECT s_nationkey, count(*) AS n, string_agg('| ' || s_suppkey || ' | ' || s_name || ' | ' || bal || ' |', chr(10) ORDER BY CAST(s_suppkey AS VARCHAR), s_name, bal) AS body FROM c GROUP BY s_nationkey)
+SELECT s_nationkey, '| key | name | balance |' || chr(10) || '| --- | --- | --- |' || chr(10) || body AS markdown, CAST(n + 1 AS INT) AS n_rows, false AS degenerate FROM m
+""")
 def markdown_tables(spark, sf_dir):
     """Each nation's suppliers as a Markdown table and its shape read back."""
     s = _t(spark, sf_dir, "supplier")
@@ -439,7 +448,12 @@ def figure_budget(spark, sf_dir):
     return blocks.figures_to_describe(figures, pages).select("doc_id", "ord")
 
 
-@_query()
+@_query(r"""
+WITH d AS (SELECT source, doc_id, doc_id % 2 AS side FROM documents),
+t AS (SELECT *, side <> lag(side) OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM d),
+p AS (SELECT source, count(*) >= 6 AND min(side) <> max(side) AND coalesce(count_if(turn), 0) >= 4 AS two FROM t GROUP BY source)
+SELECT source AS doc_id, doc_id AS ord, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN two THEN side ELSE 0 END, doc_id) AS reading_ord FROM d JOIN p USING (source)
+""")
 def column_order(spark, sf_dir):
     """Documents laid out alternately in two columns, in the order they are read."""
     d = _t(spark, sf_dir, "documents")
@@ -449,14 +463,39 @@ def column_order(spark, sf_dir):
     return blocks.reorder_columns(b).select("doc_id", "ord", "reading_ord")
 
 
-@_query()
+@_query(r"""
+WITH f AS (SELECT doc_id, trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM documents),
+l AS (SELECT doc_id, i, line FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, trim(unnest(a), chr(9) || chr(13) || ' ') AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS a FROM f)) WHERE line <> ''),
+g AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l),
+r AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, line, k) GROUP BY doc_id),
+x AS (SELECT doc_id, CASE WHEN t = '' OR starts_with(lower(t), '[no text]') THEN 'empty_on_inked_page'
+  WHEN regexp_matches(t, '(?i)^(i (cannot|can''t|am unable)|sorry|unable to|as an ai|извин|я не мог|не могу)') THEN 'refusal'
+  WHEN run > 4 THEN 'repetition_loop'
+  WHEN length(regexp_replace(t, '\PL', '', 'g')) > 0 AND length(regexp_replace(t, '[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]', '', 'g')) > 0.05 * length(regexp_replace(t, '\PL', '', 'g')) THEN 'foreign_script'
+  WHEN length(t) < 90 THEN 'short_transcript' ELSE '' END AS reason FROM f LEFT JOIN r USING (doc_id))
+SELECT doc_id, reason = '' AS ok, reason, reason = 'short_transcript' AS retryable FROM x
+""")
 def transcript_checks(spark, sf_dir):
     """Documents judged as page transcripts."""
     d = _t(spark, sf_dir, "documents")
     return d.select("doc_id", blocks.check_page_transcript(F.col("text"), F.lit(0.02), F.lit(10)).alias("c")).select("doc_id", "c.ok", "c.reason", "c.retryable")
 
 
-@_query()
+@_query(r"""
+WITH f AS (SELECT doc_id, trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM documents),
+l AS (SELECT doc_id, i, line FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, trim(unnest(a), chr(9) || chr(13) || ' ') AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS a FROM f)) WHERE line <> ''),
+g AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l),
+r AS (SELECT doc_id, max(n) AS run, sum(n) AS lines FROM (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id, line, k) GROUP BY doc_id),
+p AS (SELECT *, trim(substring(t, 1, 24), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS piece, abs(length(t) - length(replace(t, '{', '')) - length(t) + length(replace(t, '}', ''))) AS braces FROM f LEFT JOIN r USING (doc_id)),
+x AS (SELECT doc_id, CASE WHEN t = '' THEN 'empty'
+  WHEN regexp_matches(t, '(?i)^(i (cannot|can''t|am unable)|sorry|unable to|as an ai|извин|я не мог|не могу)') THEN 'refusal'
+  WHEN regexp_matches(t, '(?i)^(the (image|formula|picture|equation)([^\pL\pN_]|$)|this (image|is a|appears)|на (изображени|рисунке|картинке)|(это|здесь) (изображ|формула|показан)|i see([^\pL\pN_]|$)|изображена?([^\pL\pN_]|$))') THEN 'prose'
+  WHEN length(t) > 2000 THEN 'too_long'
+  WHEN CASE WHEN lines > 1 AND run > 1 THEN run WHEN length(piece) >= 8 THEN (length(t) - length(replace(t, piece, ''))) / length(piece) ELSE 1 END > 6 THEN 'loop'
+  WHEN braces > 6 THEN 'unbalanced!' WHEN braces > 0 THEN 'unbalanced'
+  WHEN NOT regexp_matches(t, '[\\^_={}∑∫±≤≥×÷·√∞→αβγδθλμπσφω]|[0-9]\s*[+\-*/=]\s*[0-9]') AND len(regexp_extract_all(t, '[\pL\pM]{2,}')) > 12 THEN 'not_a_formula' ELSE '' END AS c FROM p)
+SELECT doc_id, c IN ('', 'unbalanced') AS ok, rtrim(c, '!') AS reason FROM x
+""")
 def formula_checks(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     return d.select("doc_id", blocks.check_formula_transcript(F.col("text"), F.lit("formula")).alias("c")).select("doc_id", "c.ok", "c.reason")
@@ -588,7 +627,11 @@ def neighbour_similarity(spark, sf_dir):
     return e.join(b, "vec_id").select(F.col("vec_id").alias("a"), F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6).alias("sim"))
 
 
-@_query()
+@_query(r"""
+WITH l AS (SELECT item_id, '{"answer":"","doc_ids":["d"],"id":"' || item_id || '","question":' || to_json(text) || '}' || chr(10) AS j FROM benchmark),
+b AS (SELECT item_id // 100000 AS b, sha256(string_agg(j, '' ORDER BY item_id)) AS d FROM l GROUP BY b)
+SELECT sha256(string_agg(d, '' ORDER BY b)) AS sha256 FROM b
+""")
 def dataset_fingerprint(spark, sf_dir):
     b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_index"), F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.lit("").alias("answer"), F.array(F.lit("d")).alias("doc_ids"))
     return batch.dataset_fingerprint(b)
