@@ -1,6 +1,7 @@
 """Sharding by extendible hashing.
 
-A document's hash picks its shard by a prefix of bits.  The directory starts at
+A document's hash (the first 60 bits of the MD5 of its id, a line feed and its
+text) picks its shard by a prefix of bits.  The directory starts at
 depth 0; a bucket above the byte limit splits on its next bit, others stay.
 
 The bytes are first summed into fine cells (``cell_bits`` more bits than shards
@@ -57,7 +58,7 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
         docs.select(
             F.col(id_col).alias("_id"),
             F.octet_length(text).cast("long").alias("_bytes"),
-            F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 64 - _BITS).alias("_hash"),
+            F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text)), 1, _BITS // 4), 16, 10).cast("long").alias("_hash"),
             F.spark_partition_id().alias("_part"),
             F.monotonically_increasing_id().alias("_row"),
         )
