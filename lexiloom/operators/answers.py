@@ -191,11 +191,20 @@ def context_header(columns: list[str]) -> Column:
     return F.when(joined != "", joined).otherwise("metadata: none")
 
 
-def contexts(passages: DataFrame) -> DataFrame:
-    """``query_id, context``: numbered passages under their headers, in rank order."""
-    head = context_header(passages.columns)
+def contexts(passages: DataFrame, version: str = "v3") -> DataFrame:
+    """``query_id, context``: numbered passages under their headers, in rank order.
+
+    In ``v1`` a header names the chunk's number, its score and every piece of
+    metadata, as they are.
+    """
+    if version == "v1":
+        shown = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in HEADER_KEYS if k in passages.columns]
+        score = F.regexp_replace(F.format_string("%.6f", F.col("score").cast("double")), r"\.?0+$", "")
+        head = F.concat(F.lit("[Chunk "), F.col("rank").cast("string"), F.lit(" | score="), score, F.lit(" | metadata: "), F.concat_ws(", ", *shown), F.lit("]"))
+    else:
+        head = F.concat(F.lit("[Источник "), F.col("rank").cast("string"), F.lit(" | "), context_header(passages.columns), F.lit("]"))
     part = F.struct("rank", head.alias("h"), F.col("passage").alias("p"))
-    lines = F.transform(F.sort_array(F.collect_list(part)), lambda x: F.concat(F.lit("[Источник "), x["rank"].cast("string"), F.lit(" | "), x["h"], F.lit("]\n"), x["p"]))
+    lines = F.transform(F.sort_array(F.collect_list(part)), lambda x: F.concat(x["h"], F.lit("\n"), x["p"]))
     return passages.groupBy("query_id").agg(F.array_join(lines, "\n\n").alias("context"))
 
 
@@ -209,7 +218,7 @@ def qa_prompt(question: Column, context: Column, version: str = "v3") -> Column:
 def answer(questions: DataFrame, hits: DataFrame, model: TextModel, version: str = "v3") -> DataFrame:
     """``query_id, question, contexts, answer``; without hits a fixed message and no model call."""
     p = select_passages(hits)
-    text = contexts(p)
+    text = contexts(p, version)
     meta = [c for c in HEADER_KEYS if c in p.columns]
     item = F.struct(
         F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("source_file").alias("document_id"), F.col("passage").alias("text"),

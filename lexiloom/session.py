@@ -6,7 +6,8 @@ import hashlib
 import json
 import os
 import tempfile
-from dataclasses import asdict, dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,29 @@ class SearchSettings:
         return max(n, 3 * self.top_k) if self.unique else n
 
 
+YES = ("1", "true", "yes", "on")
+
+
+def settings_from(kind: type, values: Mapping[str, str], prefix: str = "", lenient: bool = False):
+    """A settings object from text values, as of an environment; names are upper case after ``prefix``.
+
+    Blank values count as missing.  What isn't a number is an error, or with
+    ``lenient`` the default.
+    """
+    found = {}
+    for f in fields(kind):
+        raw = (values.get(prefix + f.name.upper()) or "").strip()
+        if not raw:
+            continue
+        sort = str(f.type).split(" ")[0]
+        try:
+            found[f.name] = raw.lower() in YES if sort == "bool" else int(raw) if sort == "int" else float(raw) if sort == "float" else raw
+        except ValueError:
+            if not lenient:
+                raise ValueError(f"{prefix}{f.name.upper()} must be a number, not {raw!r}") from None
+    return kind(**found)
+
+
 def fingerprint(*settings, **more) -> str:
     """A digest of settings, for run manifests and resume checks."""
     payload = [asdict(s) for s in settings] + [more]

@@ -95,6 +95,25 @@ def match_documents(records: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(found, "_nfc", "left").select("id", "pos", "doc_id", F.when(F.col("matches") == 1, F.col("path")).alias("path"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def fetched(records: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
+    """``id, pos, doc_id, path`` and the content of every record's documents; a missing or ambiguous one is an error."""
+    found = match_documents(records, files.select("path"))
+    wrong = F.when(F.col("matches") == 0, F.concat(F.lit("no such document: "), "doc_id")).when(F.col("matches") > 1, F.concat(F.lit("ambiguous document: "), "doc_id"))
+    checked = found.withColumn("path", F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.col("path")))
+    return checked.join(files.select("path", content), "path").select("id", "pos", "doc_id", "path", content)
+
+
+def parsed_once(wanted: DataFrame, files: DataFrame, profile: str = "structured") -> DataFrame:
+    """Blocks for each (id, path) of ``wanted``, every file being parsed once however often it is asked for.
+
+    ``files``: path, content.  Adds ``id`` to the columns of ``blocks_of``.
+    """
+    distinct = files.join(wanted.select("path").distinct(), "path", "left_semi")
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    parsed = blocks_of(distinct.select(F.col("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), suffix.alias("suffix"), "content"), profile)
+    return wanted.select("id", F.col("path").alias("doc_id")).join(parsed, "doc_id")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """A question set (Parquet or JSON lines) with ``row_index`` in file order.
 

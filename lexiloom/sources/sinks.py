@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_search
+from ..operators.batch import dataset_fingerprint, totals
 from ..operators.search import Index, postings, term_statistics
 
 ANSWER_SCHEMA = (
@@ -64,6 +65,18 @@ def write_manifest(spark: SparkSession, path: str, **fields) -> None:
     spark.createDataFrame([tuple(map(str, fields.values()))], list(fields)).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_run_manifest(spark: SparkSession, path: str, questions: DataFrame, results: DataFrame, resumed: int = 0, **parameters) -> None:
+    """What a run read, how it was set, and how it ended; an existing manifest is an error.
+
+    ``questions``: row_index, id, question, answer, doc_ids; ``results``: answer.
+    """
+    read = dataset_fingerprint(questions).withColumnRenamed("sha256", "records_sha256").crossJoin(questions.agg(F.count(F.lit(1)).alias("selected_rows")))
+    ended = totals(results).select(F.col("total").alias("total_count"), (F.col("total") - resumed).alias("processed_count"), F.lit(resumed).alias("resumed_count"), F.col("failed").alias("failed_count"))
+    settings = F.to_json(F.create_map(*(F.lit(str(x)) for pair in sorted(parameters.items()) for x in pair))) if parameters else F.lit("{}")
+    one = read.select(F.struct("records_sha256", "selected_rows").alias("dataset")).crossJoin(ended.select(F.struct("*").alias("result")))
+    one.select(F.lit(1).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"), "dataset", settings.alias("generation"), "result").coalesce(1).write.mode("errorifexists").json(path)
+
+
 def write_report(report: DataFrame, scored: DataFrame, path: str) -> None:
     """Report as JSON, scored rows as Parquet; earlier ones are replaced."""
     report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
