@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``.
 
@@ -37,6 +42,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_held: tuple = ()
+
+
+def sole(key: tuple, make: Callable[[], T]) -> T:
+    """The one large object that a Python worker holds between tasks.
+
+    Workers are reused from stage to stage, so what another operator cached
+    there is let go of when this one asks for its own.
+    """
+    global _held
+    if not _held or _held[0] != key:
+        _held = ()
+        _held = (key, make())
+    return _held[1]
+
+
 def whole_text(name: str = "text") -> Column:
     """The text column, null counting as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

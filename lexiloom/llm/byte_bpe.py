@@ -15,14 +15,13 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import whole_text
+from ._common import sole, whole_text
 
 _CACHE = 400_000
 _NONE = 1 << 30
@@ -193,10 +192,9 @@ class BytePairCoder:
         return found
 
 
-@lru_cache(maxsize=2)
 def coder(ranks_path: str, pattern: str) -> BytePairCoder:
     """One coder per Python worker."""
-    return BytePairCoder(load_ranks(ranks_path), pattern)
+    return sole(("byte pairs", ranks_path, pattern), lambda: BytePairCoder(load_ranks(ranks_path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -24,16 +24,15 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, whole_text
+from ._common import checkpoint, sole, whole_text
 
-_CACHE = 400_000
+_CACHE = 250_000
 _MARKS = ".,;:!?"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"  # blanks to str.split, not to the tokenizer
 
@@ -54,10 +53,27 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, many in one call: each ends with the one token of it that ends a word."""
+        out: list[bytes] = []
+        groups = [words[i : i + 4096] for i in range(0, len(words), 4096)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(group):  # lower case or composition has made more of a letter
+                out += self._encode(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *ends], ends)]
+        return out
+
     def _words(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")  # here lower case and composition commute
@@ -70,7 +86,10 @@ class WordTokens:
         marked = {w for w in words if w[-1] in _MARKS and w[:-1].isalpha()}
         cache, plain = self.cache, words - marked
         plain |= {x for w in marked for x in (w[:-1], w[-1]) if x not in cache}
-        found = dict(zip(plain, self._encode(list(plain)), strict=True))
+        letters = [w for w in plain if w.isalpha()]
+        others = [w for w in plain if not w.isalpha()]
+        found = dict(zip(letters, self._encode_letters(letters), strict=True))
+        found.update(zip(others, self._encode(others), strict=True))
         for w in marked:
             found[w] = (found.get(w[:-1]) or cache[w[:-1]]) + (found.get(w[-1]) or cache[w[-1]])
         return found
@@ -80,22 +99,22 @@ class WordTokens:
         for at in range(0, len(texts), together):
             some = texts[at : at + together]
             split = [None if any(c in t for c in _ODD_SPACE) else self._words(t) for t in some]
-            new = {w for words in split if words for w in words if w not in cache}
+            every = set().union(*filter(None, split))
+            new = every.difference(cache)
             if len(cache) + len(new) > _CACHE:
                 cache.clear()
-                new = {w for words in split if words for w in words}
+                new = every
             found = self._learn(new)
             cache.update(found)
             for text, words in zip(some, split, strict=True):
-                yield self._encode([text])[0] if words is None else b"".join([cache[w] for w in words])
-            for w in found:
-                if len(w) > 64:
-                    cache.pop(w, None)
+                yield self._encode([text])[0] if words is None else b"".join(map(cache.__getitem__, words))
+            for w in [w for w in found if len(w) > 64]:
+                del cache[w]
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    """One coder per Python worker."""
+    return sole(("word tokens", path), lambda: WordTokens(path))
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +131,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
         tokens = word_tokens(vocabulary)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for n, ids in enumerate(tokens.encode(batch.column(1).to_pylist())):
+            slices = (batch.column(1).slice(at, 64).to_pylist() for at in range(0, batch.num_rows, 64))
+            for n, ids in enumerate(ids for texts in slices for ids in tokens.encode(texts)):
                 view = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(view), 4 * capacity)):
                     part = view[at : at + 4 * capacity]
@@ -274,21 +294,27 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("_n")).collect():
         histogram[r[0]] = r[1]
-    rows, base, used = [], 0, np.zeros(capacity + 1, np.int64)
+    spans, base, used = [], 0, np.zeros(capacity + 1, np.int64)
     for lengths, many in plan(histogram, capacity):
         offset = 0
         for v in lengths:
-            rows.append((v, int(used[v]), int(used[v]) + many, base, offset))
+            spans.append((v, int(used[v]), int(used[v]) + many, base, offset))
             used[v] += many
             offset += v
         base += many
-    # at most a few places for each of the planned patterns, so its size is bounded
-    places = F.broadcast(spark.createDataFrame(rows, "length long, _from long, _to long, _base long, offset long"))
+    # a length's numbers lie in blocks about as wide as its spans are on average, so a piece meets few spans
+    of_length = np.bincount([v for v, *_ in spans], minlength=capacity + 1)
+    shifts = [max(0, int(n // max(1, k)).bit_length() - 1) for n, k in zip(used.tolist(), of_length.tolist(), strict=True)]
+    rows = [(v, block, first, end, at, offset) for v, first, end, at, offset in spans for block in range(first >> shifts[v], (end - 1 >> shifts[v]) + 1)]
+    # a few rows for each of the planned patterns, so the size is bounded
+    places = F.broadcast(spark.createDataFrame(rows, "length long, _block long, _from long, _to long, _base long, offset long"))
+    shift = F.element_at(F.lit(shifts), F.col("length").cast("int") + 1)
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     short = pieces.where(F.col("length") < capacity)
     nth = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1
     placed = short.withColumn("_nth", nth).join(before, ["length", "_part"]).withColumn("_nth", F.col("_nth") + F.col("_before"))
-    placed = placed.join(places, "length").where((F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_to")))
+    placed = placed.withColumn("_block", F.call_function("shiftright", F.col("_nth"), shift))
+    placed = placed.join(places, ["length", "_block"]).where((F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_to")))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     placed = placed.select(*columns, (F.col("_base") + F.col("_nth") - F.col("_from")).alias("sequence_id"), "offset")
     full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -33,11 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import whole_text
+from ._common import sole, whole_text
 
 WINDOW = 24
-_CACHE = 200_000
-_PIECE, _BLOCK = 4096, 1 << 21  # characters looked at together
+_CACHE = 100_000
+_PIECE, _BLOCK = 4096, 1 << 20  # characters looked at together
 #: Characters commonly written for letters.
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -238,8 +238,8 @@ class ToxicityModel:
         """Each text's largest kernels with the landmarks, sums of their fourth powers, and number of stretches."""
         size = len(self.landmarks.words)
         best, sums, count = np.zeros((len(texts), size), np.float32), np.zeros((len(texts), size), np.float32), np.zeros(len(texts))
-        for at in range(0, len(texts), 1024):
-            split = [chunks(t, self.landmarks.heads) for t in texts[at : at + 1024]]
+        for at in range(0, len(texts), 256):
+            split = [chunks(t, self.landmarks.heads) for t in texts[at : at + 256]]
             if len(self._known) > 2 * _CACHE:
                 self._known.clear()
                 self._rows.clear()
@@ -484,6 +484,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
     """Probability that a text is toxic."""
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sole(("toxicity",), int)  # what other operators cached here may go
         for texts in batches:
             yield pd.Series(model.scores(texts.tolist()), dtype="float64")
 
