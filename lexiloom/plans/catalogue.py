@@ -122,7 +122,7 @@ SELECT qid AS query_id, vec_id AS id, round(c, 6) AS score, rank FROM r WHERE ra
 def dense_search(spark, sf_dir):
     """Exhaustive cosine search above the cutoff; every hundredth vector is a query."""
     e = _t(spark, sf_dir, "embeddings")
-    hits = search.dense(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "vec_id", "embedding").withColumn("score", F.round("score", 9))
+    hits = search.dense(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "vec_id", "embedding", 10).withColumn("score", F.round("score", 9))
     return search.ranked(hits, 10).withColumn("score", F.round("score", 6))
 
 

@@ -148,3 +148,25 @@ def test_stored_index_and_upper_bounds_change_nothing(spark, tmp_path):
             assert a == b
         else:
             assert {q for q, _, _ in a} == {q for q, _, _ in b}  # statistics of the corpus, not of the source
+
+
+def test_dense_in_blocks_is_exhaustive(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 8)).round(1)
+    rows = [(i, base[i % 60].tolist()) for i in range(300)] + [(900, [0.0] * 8), (901, None)]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    asked = [(i, 0, (base[i] * 3).tolist()) for i in range(25)] + [(70, 1, [0.0] * 8), (71, 0, None)]
+    queries = spark.createDataFrame(asked, "q long, f int, qv array<float>").select(F.struct("q", "f").alias("key"), "qv")
+    want = []
+    for q, f, qv in asked:
+        if qv is None or not any(qv):
+            continue
+        scores = {i: float(np.dot(np.float32(qv).astype(float), np.float32(v).astype(float)) / np.linalg.norm(np.float32(qv).astype(float)) / np.linalg.norm(np.float32(v).astype(float))) for i, v in rows if v and any(v)}
+        hits = sorted((i for i, s in scores.items() if s > 0.25), key=lambda i: (-round(scores[i], 9), i))[:7]
+        want += [(q, f, n, i) for n, i in enumerate(hits, 1)]
+    for size in (1, 2000, 1 << 20):
+        found = search.dense(queries, vectors, "key", "qv", "id", "v", 7, block_bytes=size).withColumn("score", F.round("score", 9))
+        assert sorted((r.query_id.q, r.query_id.f, r["rank"], r.id) for r in search.ranked(found, 7).collect()) == sorted(want)
+    assert search.dense(queries.where("false"), vectors, "key", "qv", "id", "v", 7).count() == 0
