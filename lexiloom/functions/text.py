@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ VARIANT_PREFIX = r"(?U)^\s*(?:[-*•]|\d+[.)]|[a-zA-Zа-яА-Я][.)])\s*"
 QUOTES = "\"'«»“”„‘’`"
 EMOJI_PREFIX = r"(?U)^[^\w\s\"'«(\[#*_-]+\s*"
 SPACING_RUN = r"(\\(?:qquad|quad|;|:|,|!))(?:\s*\\(?:qquad|quad|;|:|,|!)){2,}"
+MARKS = "[\\u0300-\\u036f]"
 # End of fixed values.
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -68,9 +73,25 @@ def fold_yo(c: Column) -> Column:
     return F.translate(c, "ёЁ", "еЕ")
 
 
+@lru_cache(maxsize=1)
+def _compositions() -> list[tuple[str, str]]:
+    """(letter and mark, composed letter) of Latin, Greek and Cyrillic, those with fewer marks first."""
+    blocks = [range(0xC0, 0x250), range(0x370, 0x500), range(0x1E00, 0x2000)]
+    pairs = [(chr(i), unicodedata.decomposition(chr(i)).split()) for r in blocks for i in r]
+    known = [("".join(chr(int(x, 16)) for x in d), c) for c, d in pairs if len(d) == 2 and not d[0].startswith("<")]
+    return sorted((p for p in known if unicodedata.normalize("NFC", p[0]) == p[1]), key=lambda p: (len(unicodedata.normalize("NFD", p[1])), p))
+
+
+def composed(c: Column) -> Column:
+    """Letters and the marks after them as one letter, as in NFC; only texts with such marks are touched."""
+    pairs = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in _compositions()])), "array<struct<a:string,b:string>>")
+    whole = F.aggregate(pairs, c, lambda t, p: F.replace(t, p["a"], p["b"]))
+    return F.when(c.rlike(MARKS), whole).otherwise(c)
+
+
 def tokens(c: Column) -> Column:
-    """Search tokens in order: numbers with separators, words with hyphens and apostrophes, lower case."""
-    return F.regexp_extract_all(F.lower(fold_yo(c)), F.lit(WORDS), F.lit(0))
+    """Search tokens of the composed text in order: numbers with separators, words with hyphens and apostrophes, lower case."""
+    return F.regexp_extract_all(F.lower(fold_yo(composed(c))), F.lit(WORDS), F.lit(0))
 
 
 def normalize_for_search(c: Column) -> Column:

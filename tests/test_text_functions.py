@@ -70,3 +70,12 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
     assert got[0] == pytest.approx(0.5**0.5) and got[1] is None
+
+
+def test_search_text_is_composed(spark):
+    import unicodedata
+
+    words = ["été", "Ёлка", "йод", "Việt", "naïve", "Ångström", "ώρα", "plain", "日本"]
+    rows = [(unicodedata.normalize(form, w),) for w in words for form in ("NFC", "NFD")]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.normalize_for_search(F.col("t"))).collect()]
+    assert got[0::2] == got[1::2] and got[0] == "été" and got[2] == "елка" and all(unicodedata.is_normalized("NFC", w) for w in got)
