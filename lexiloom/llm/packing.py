@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ._common import checkpoint, sole, whole_text
 
 _CACHE = 250_000
+_SHORT = 8
 _MARKS = ".,;:!?"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"  # blanks to str.split, not to the tokenizer
 
@@ -102,8 +103,11 @@ class WordTokens:
             every = set().union(*filter(None, split))
             new = every.difference(cache)
             if len(cache) + len(new) > _CACHE:
+                short = {w: cache[w] for w in cache if len(w) < _SHORT}  # the most used ones
                 cache.clear()
-                new = every
+                if len(short) < _CACHE // 2:
+                    cache.update(short)
+                new = every.difference(cache)
             found = self._learn(new)
             cache.update(found)
             for text, words in zip(some, split, strict=True):
