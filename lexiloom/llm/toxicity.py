@@ -40,6 +40,7 @@ _CACHE = 100_000
 _PIECE, _BLOCK = 4096, 1 << 20  # characters looked at together
 #: Characters commonly written for letters.
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+_ENDS = (".", ",", ";", ":", "!", "?")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -100,24 +101,26 @@ class Landmarks:
         heads: dict[str, set[str]] = {}
         for c in self.cores:
             for i in range(1, len(c)):
-                for head in (c[:i], c[:i].upper(), c[:i].capitalize()):
-                    heads.setdefault(head, set()).add(c[i:])
+                heads.setdefault(c[:i], set()).add(c[i:])
         self.heads = {h: tuple(sorted(t)) for h, t in heads.items()}
 
     def kernel(self, marked: list[str]) -> np.ndarray:
         """Normalised kernels of ``^word$`` strings: words x landmarks."""
         out = np.zeros((len(marked), len(self.words)), np.float32)
-        gap = max(self.spans) + 2
-        ends = np.cumsum([len(w) + gap for w in marked])
+        room = "\0" * (max(self.spans) + 2)
+        sizes = np.cumsum([len(w) + 1 for w in marked])
         table = np.zeros(0x110000, np.uint32)
         at = 0
         while at < len(marked):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK, "right")))
-            text = "".join("\0" * gap + w for w in marked[at:to]) + "\0" * gap
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _BLOCK, "right")))
+            text = "\0" + "\0".join(marked[at:to]) + room
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
-            begins = np.cumsum([0, *(len(w) + gap for w in marked[at : to - 1])])
-            for j in range(len(self.words)):
-                starts = self._alike(codes, j, table)
+            begins = np.cumsum([0, *(len(w) + 1 for w in marked[at : to - 1])])
+            found: dict[str, np.ndarray] = {}
+            for j, core in enumerate(self.cores):
+                if core not in found:
+                    found[core] = self._alike(codes, j, table)
+                starts = found[core]
                 for cut in range(0, len(starts), 4096):
                     some = starts[cut : cut + 4096]
                     owner = at + np.searchsorted(begins, some, "right") - 1
@@ -126,25 +129,30 @@ class Landmarks:
         return out
 
     def _alike(self, codes: np.ndarray, j: int, table: np.ndarray) -> np.ndarray:
-        """Positions whose windows hold enough of a landmark's letters in order, by bitwise longest common subsequence."""
+        """Positions whose windows hold enough of a landmark's letters in order, by bitwise longest common subsequence; windows end with their word."""
         core = self.cores[j]
         lacking = max(1, len(core) // 5)
+        end = np.uint32(1 << 31)
         for k, c in enumerate(core):
             table[ord(c)] |= 1 << k
+        table[0] = end
         bits = table[codes]
         for c in core:
             table[ord(c)] = 0
         starts = np.flatnonzero(bits & np.uint32((2 << lacking) - 1))
-        left = np.full(len(starts), (1 << len(core)) - 1, np.uint32)
+        left, inside = np.full(len(starts), (1 << len(core)) - 1, np.uint32), np.ones(len(starts), bool)
         for i in range(self.spans[j]):
-            hit = left & bits[starts + i]
+            b = bits[starts + i]
+            inside &= b != end
+            hit = left & (b * inside)
             left = (left + hit) | (left - hit)
         return starts[np.bitwise_count(left & np.uint32((1 << len(core)) - 1)) <= lacking]
 
     def _windows(self, codes: np.ndarray, starts: np.ndarray, j: int) -> np.ndarray:
         """The best kernel of the windows that begin at each of ``starts``."""
-        mark = self.words[j].startswith("^")
+        mark = int(self.words[j].startswith("^"))
         windows = codes[starts[:, None] + np.arange(-mark, self.spans[j] + self.words[j].endswith("$"))]
+        windows[:, mark:] *= np.logical_and.accumulate(windows[:, mark:] > 0, axis=1)
         if mark:
             windows[windows[:, 0] != ord("^"), 0] = 0
         landmark = np.broadcast_to(np.array([ord(c) for c in self.words[j]], np.int32), (len(starts), len(self.words[j])))
@@ -158,6 +166,8 @@ def spellings(chunk: str) -> set[str]:
     low = chunk.lower()
     if low.isalpha():
         return {low}
+    if low[-1:] in _ENDS and low[:-1].isalpha():
+        return {low[:-1]}
     plain = _NOT_LETTER.sub("", low)
     found = {plain, *(x for x in _NOT_LETTER.split(low) if len(x) > 2)}
     if plain and plain != low:
@@ -176,17 +186,18 @@ def chunks(text: str, heads: dict[str, tuple[str, ...]] | None = None) -> list[s
 
     ``heads``: beginnings of landmarks and what must follow them.
     """
-    parts = text.split()
-    out = set(parts)
+    parts = text.lower().split()
+    out = {p.rstrip(".,;:!?") for p in set(parts)}
+    out.discard("")
     if heads:
         for head in out & heads.keys():
             at = -1
             for _ in range(parts.count(head)):
                 at = parts.index(head, at + 1)
-                if at + 1 < len(parts) and parts[at + 1].lower().startswith(heads[head]):
+                if at + 1 < len(parts) and parts[at + 1].startswith(heads[head]):
                     out.add(head + parts[at + 1])
     run: list[str] = []
-    if sum(len(p) == 1 for p in out) > 1:
+    if list(map(len, out)).count(1) > 1:
         for p in [*parts, "  "]:
             if len(p) == 1:
                 run.append(p)
@@ -227,8 +238,9 @@ class ToxicityModel:
             for w, n in zip(words, owner, strict=True):
                 if (i := where.get(w)) is not None:
                     np.maximum(out[n], k[i], out=out[n])
+        found = out.any(1)
         for n, chunk in enumerate(new):
-            if out[n].any():
+            if found[n]:
                 self._known[chunk] = len(self._rows)
                 self._rows.append(out[n])
             else:
