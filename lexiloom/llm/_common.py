@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, whose session sends at most ``rows`` texts at once to Python workers.
+
+    Spark's own 10,000 make batches of tens of megabytes where texts are long,
+    outside the heap and again in the worker.  A number that was set is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(rows))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column has it."""
     taken = {c.lower() for c in df.columns}
@@ -54,6 +70,7 @@ def sole(key: tuple, make: Callable[[], T]) -> T:
     global _held
     if not _held or _held[0] != key:
         _held = ()
+        pa.default_memory_pool().release_unused()
         _held = (key, make())
     return _held[1]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import sole, whole_text
+from ._common import short_batches, sole, whole_text
 
 _CACHE = 400_000
 _NONE = 1 << 30
@@ -224,7 +224,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    return short_batches(docs).select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -242,4 +242,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
             texts = [bpe.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"doc_id {id_type}, text string")
+    return short_batches(encoded).select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"doc_id {id_type}, text string")

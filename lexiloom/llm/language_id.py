@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import whole_text
+from ._common import short_batches, whole_text
 
 BITS = 15
 SCALE = 30.0  # brings shares of n-grams to about 1
@@ -107,7 +107,7 @@ def document_frequencies(rows: DataFrame, text_col: str = "text") -> tuple[np.nd
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at // _DF_BLOCK, pa.int32()), pa.array(at % _DF_BLOCK, pa.int32()), pa.array(df[at], pa.int64())], ["b", "i", "n"])
 
-    found = rows.select(F.col(text_col).alias("t")).mapInArrow(run, "b int, i int, n long").groupBy("b", "i").agg(F.sum("n").alias("n"))
+    found = short_batches(rows).select(F.col(text_col).alias("t")).mapInArrow(run, "b int, i int, n long").groupBy("b", "i").agg(F.sum("n").alias("n"))
     out = np.zeros(_offsets(3) + 1, np.int64)
     for r in found.groupBy("b").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n")).toLocalIterator():
         out[np.array(r.i) + r.b * _DF_BLOCK] = r.n
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     0; rows may repeat; an empty table gives an empty result; other columns are
     not read.
     """
-    scored = docs.select(docs[id_col].alias("doc_id"), language_struct(model, whole_text(text_col)).alias("_p"))
+    scored = short_batches(docs).select(docs[id_col].alias("doc_id"), language_struct(model, whole_text(text_col)).alias("_p"))
     return scored.select("doc_id", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
@@ -226,4 +226,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     that repeat share a decision, columns of any name are passed on.
     """
     p = language_struct(model, whole_text(text_col))
-    return docs.where((p["lang"] != UNDETERMINED) & (p["score"] >= min_score))
+    return short_batches(docs).where((p["lang"] != UNDETERMINED) & (p["score"] >= min_score))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, sole, whole_text
+from ._common import checkpoint, short_batches, sole, whole_text
 
 _CACHE = 250_000
 _SHORT = 8
@@ -149,7 +149,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    return short_batches(docs).select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _patterns(counts: np.ndarray, capacity: int, width: int = 8, common: int = 96, slack: int = 3) -> np.ndarray:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sole, whole_text
+from ._common import short_batches, sole, whole_text
 
 WINDOW = 24
 _CACHE = 100_000
@@ -511,7 +511,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     text unlike all landmarks; rows may repeat; an empty table gives an empty
     result; other columns are not read.
     """
-    scored = docs.select(docs[id_col].alias("doc_id"), toxicity_score(model, whole_text(text_col)).alias("score"))
+    scored = short_batches(docs).select(docs[id_col].alias("doc_id"), toxicity_score(model, whole_text(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -522,4 +522,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     as a text unlike all landmarks, rows that repeat share a decision, columns
     of any name are passed on.
     """
-    return docs.where(toxicity_score(model, whole_text(text_col)) < threshold)
+    return short_batches(docs).where(toxicity_score(model, whole_text(text_col)) < threshold)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import whole_text
+from ._common import short_batches, whole_text
 
 UNIT = 192
 PACKET = 188
@@ -211,7 +211,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 raw = [x.as_py().encode() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, media binary")
+    return short_batches(docs).select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, media binary")
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -261,4 +261,4 @@ def read_media(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], ["doc_id", "n_bytes", *kinds])
 
     schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>, continuity_breaks long, table_errors long, error string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return short_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
