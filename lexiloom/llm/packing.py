@@ -21,6 +21,8 @@ from counts per (length, partition), so no task sees all pieces of a length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,17 +34,18 @@ from pyspark.sql import functions as F
 
 from ._common import checkpoint, short_batches, sole, whole_text
 
-_CACHE = 250_000
+_CACHE = 300_000
 _SHORT = 8
-_MARKS = ".,;:!?"
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_MARK = re.compile(r"[.,;:!?](?<=[^\W\d_].)(?=\s|\Z)")  # one mark between a letter and a blank: tokens of its own
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"  # blanks to str.split, not to the tokenizer
 
 
 class WordTokens:
     """Token ids of whole texts as little-endian 32-bit bytes, by cached words.
 
-    The tokenizer never joins across white space, so ids of a text are those of
-    its words in order.
+    The tokenizer never joins across white space, nor a letter with a mark, so
+    ids of a text are those of its words and the marks after them, in order.
     """
 
     def __init__(self, path: str):
@@ -53,22 +56,34 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bare = self._bare()
         self.cache: dict[str, bytes] = {}
         self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
 
+    def _bare(self):
+        """The same model after a split at blanks, for words that are normal already; None for a tokenizer of another make."""
+        from tokenizers import Tokenizer
+
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [s["type"] for s in steps] != ["Split", "ByteLevel"] or made["model"].get("end_of_word_suffix") != "</w>":
+            return None
+        made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(made))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, many in one call: each ends with the one token of it that ends a word."""
+        """Ids of words of lower-case Latin-1 letters, many in one call: each ends with the one token of it that ends a word."""
         out: list[bytes] = []
         groups = [words[i : i + 4096] for i in range(0, len(words), 4096)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.bare.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            if len(ends) != len(group):  # lower case or composition has made more of a letter
+            if len(ends) != len(group):  # not as expected of such a model
                 out += self._encode(group)
                 continue
             raw = ids.tobytes()
@@ -76,6 +91,7 @@ class WordTokens:
         return out
 
     def _words(self, text: str) -> list[str]:
+        text = _MARK.sub(r" \g<0>", text)
         try:
             text.encode("latin-1")  # here lower case and composition commute
         except UnicodeEncodeError:
@@ -83,16 +99,11 @@ class WordTokens:
         return text.lower().split()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; a letter run and the mark after it are tokens of their own."""
-        marked = {w for w in words if w[-1] in _MARKS and w[:-1].isalpha()}
-        cache, plain = self.cache, words - marked
-        plain |= {x for w in marked for x in (w[:-1], w[-1]) if x not in cache}
-        letters = [w for w in plain if w.isalpha()]
-        others = [w for w in plain if not w.isalpha()]
+        """Ids of words."""
+        letters = [w for w in words if _LETTERS.fullmatch(w)] if self.bare else []
+        others = list(words.difference(letters))
         found = dict(zip(letters, self._encode_letters(letters), strict=True))
         found.update(zip(others, self._encode(others), strict=True))
-        for w in marked:
-            found[w] = (found.get(w[:-1]) or cache[w[:-1]]) + (found.get(w[-1]) or cache[w[-1]])
         return found
 
     def encode(self, texts: list[str], together: int = 64) -> Iterator[bytes]:
