@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -35,6 +36,11 @@ MARKS = "[\\u0300-\\u036f]"
 _SPACE = "[ \\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
+def in_python(pattern: str) -> re.Pattern:
+    """One of the patterns above for Python, whose classes are Unicode's without being asked."""
+    return re.compile(re.sub(r"^\(\?i?U\)", "", pattern), re.IGNORECASE if pattern.startswith("(?iU)") else 0)
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")

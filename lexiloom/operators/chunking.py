@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ABBREVIATIONS, SENTENCE_END, in_python
 from ..session import ChunkSettings
 
 CHUNK_SCHEMA = (
@@ -42,12 +43,7 @@ PROFILE_ROWS = 4
 TOPIC_SENTENCES, TOPIC_BUDGETS = 12, 3
 # End of fixed values.
 
-_BORDER = re.compile(r"(?<=[.!?…])\s+(?=[^\sa-zа-яё])|\n+")
-_ABBREVIATION = re.compile(
-    r"\b(т|т\.е|т\.к|т\.д|т\.п|др|пр|см|стр|рис|табл|гл|п|пп|ст|г|гг|в|вв|тыс|млн|млрд|руб|коп"
-    r"|им|напр|ул|д|корп|e\.g|i\.e|etc|vs|fig|no|approx|dr|mr|mrs|ms|prof|vol|pp)\.\s",
-    re.IGNORECASE,
-)
+_BORDER, _ABBREVIATION = in_python(SENTENCE_END), in_python(ABBREVIATIONS)
 _GLUE = "\x00"
 
 

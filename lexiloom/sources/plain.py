@@ -11,25 +11,25 @@ import re
 from dataclasses import dataclass
 from functools import cached_property
 
+from ..functions.text import NUMBERED, ROMAN, TIMESTAMP, TOP_LEVEL, in_python
+
 Parsed = tuple[str, str, int | None, dict]
 
 # Encodings tried in order, and patterns and limits of plain text.
 ENCODINGS = ("utf-8-sig", "utf-16", "cp1251", "koi8-r", "cp866", "latin-1")
-_STAMP = re.compile(r"^\s*\[?(\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?\]?\s*(-->.*)?\s*")
 _RULE = re.compile(r"^\s*[-=_*~]{4,}\s*$")
 _STARRED = re.compile(r"^\s*\*+\s*(.+?)\s*\*+\s*$")
 _KEY_VALUE = re.compile(r"^\s*[^\w\s]{0,3}\s*[\w .()/-]{2,40}:\s+\S")
 _ENDS = re.compile(r"[.!?…]\s*$")
 _LETTER = re.compile(r"[^\W\d_]")
-_NUMBERED = re.compile(r"^\s*(\d+(?:\.\d+)*)[.)]?\s+\S")
-_TOP = re.compile(r"^\s*(глава|раздел|часть|chapter|part|лекция|lecture|тема|topic|модуль|module)\b", re.IGNORECASE)
-_ROMAN = re.compile(r"^\s*[IVXLC]+[.)]\s+\S")
 TITLE_KEYS = ("title:", "название:", "тема:")
 OPENERS = "[(\"'«"
 WORDS_PER_BLOCK, MOST_WORDS = 140, 210
 TITLE_CHARS, NAME_CHARS, NUMBERED_WORDS, NAME_WORDS, BODY_CHARS, INDENT, TAB = 90, 60, 12, 6, 40, 2, 4
 # End of fixed values.
 
+_STAMP, _NUMBERED, _TOP, _ROMAN = map(in_python, (TIMESTAMP, NUMBERED, TOP_LEVEL, ROMAN))
+
 
 def decode(data: bytes) -> str:
     """Text of a file of unknown encoding."""
