@@ -14,22 +14,40 @@ PRICE_INPUT, PRICE_CACHED, PRICE_OUTPUT = 0.3, 0.5, 0.075
 # End of fixed values.
 
 
+def medians(values: DataFrame) -> DataFrame:
+    """``metric, median`` of rows ``metric, v``, exact, without bringing a metric's values into one task.
+
+    A sketch bounds the middle; values below it are counted, and only the
+    thousandth part between its bounds is sorted, as distinct values with
+    counts.
+    """
+    v = values.where("v is not null")
+    middle = v.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [0.4995, 0.5005], 10_000).alias("q"))
+    # one row for each metric that was asked for
+    near = v.join(F.broadcast(middle), "metric").select("metric", "v", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    counted = near.groupBy("metric", "n", F.when((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")), F.col("v")).when(F.col("v") > F.col("high"), float("inf")).alias("at")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("metric").orderBy(F.asc_nulls_first("at")))
+    ranks = [F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)]
+    placed = counted.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("c"))
+    holds = [F.when((r >= F.col("_from")) & (r < F.col("_to")), F.col("at")) for r in ranks]
+    return placed.groupBy("metric").agg(((F.max(holds[0]) + F.max(holds[1])) / 2).alias("median"))
+
+
 def metric_report(scored: DataFrame, metrics: list[str], negative: str | None = None, answer: str = "answer") -> DataFrame:
     """``metric, n_examples, mean, median, min, max`` (rounded to 4), and means of negative answers.
 
     ``negative``: a pattern, matched without regard to case; null answers don't match.
     """
     hit = F.coalesce(F.col(answer).rlike(f"(?i){negative}"), F.lit(False)) if negative else F.lit(False)
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("neg")]
-    for m in metrics:
-        v = F.col(m).cast("double")
-        aggs += [F.avg(v).alias(f"{m}__mean"), F.median(v).alias(f"{m}__median"), F.min(v).alias(f"{m}__min"), F.max(v).alias(f"{m}__max"), F.avg(F.when(hit, v)).alias(f"{m}__neg")]
-    one = scored.agg(*aggs)
-    rows = [
-        F.struct(F.lit(m).alias("metric"), F.col("n").alias("n_examples"), F.col("neg").alias("n_negative"), *(F.round(f"{m}__{k}", 4).alias(k) for k in ("mean", "median", "min", "max")), F.round(f"{m}__neg", 4).alias("mean_on_negative"))
-        for m in metrics
-    ]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))
+    long = scored.select(hit.alias("hit"), F.explode(each).alias("m")).select("hit", "m.metric", "m.v")
+    one = long.groupBy("metric").agg(
+        F.count(F.lit(1)).alias("n_examples"), F.count_if("hit").alias("n_negative"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg(F.when(F.col("hit"), F.col("v"))).alias("mean_on_negative")
+    )
+    asked = scored.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    both = asked.join(one, "metric", "left").join(medians(long.select("metric", "v")), "metric", "left")
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("n_examples", "n_negative"))
+    return both.select("metric", *counts, *(F.round(k, 4).alias(k) for k in ("mean", "median", "min", "max", "mean_on_negative")))
 
 
 def usage_cost(calls: DataFrame, by: list[str], price_input: float = PRICE_INPUT, price_cached: float = PRICE_CACHED, price_output: float = PRICE_OUTPUT) -> DataFrame:

@@ -52,3 +52,19 @@ def test_both_context_forms(spark):
     p = spark.createDataFrame([(1, 1, 0.5, "f.txt", "text one"), (1, 2, 0.25, None, "text two")], "query_id long, rank int, score double, source_file string, passage string")
     assert answers.contexts(p).first().context.startswith("[Источник 1 | source_file=f.txt]\ntext one\n\n[Источник 2 |")
     assert answers.contexts(p, "v1").first().context == "[Chunk 1 | score=0.5 | metadata: source_file=f.txt]\ntext one\n\n[Chunk 2 | score=0.25 | metadata: ]\ntext two"
+
+
+def test_medians_are_exact(spark):
+    import random
+    from statistics import median
+
+    from lexiloom.operators.evaluation import medians, metric_report
+
+    rng = random.Random(5)
+    sets = {"one": [3.0], "two": [1.0, 4.0], "even": [rng.random() for _ in range(20_000)], "odd": [float(rng.randrange(7)) for _ in range(20_001)], "ties": [2.0] * 500 + [9.0] * 500, "skew": [rng.expovariate(1) ** 5 for _ in range(3333)]}
+    rows = [(m, x) for m, xs in sets.items() for x in xs] + [("one", None), ("none", None)]
+    got = {r.metric: r.median for r in medians(spark.createDataFrame(rows, "metric string, v double").repartition(5)).collect()}
+    assert got.keys() == sets.keys() and all(abs(got[m] - median(xs)) < 1e-12 for m, xs in sets.items())
+    empty = metric_report(spark.createDataFrame([("x", None)], "answer string, m double"), ["m"]).first()
+    assert metric_report(spark.createDataFrame([], "answer string, m double"), ["m"]).first().n_examples == 0
+    assert empty.n_examples == 1 and empty.median is None and empty["mean"] is None
