@@ -133,11 +133,12 @@ def test_stored_index_and_upper_bounds_change_nothing(spark, tmp_path):
         return sorted((r.query_id, r.rank, r.id, round(r.score, 8)) for r in search.ranked(hits.withColumn("score", F.round("score", 9)), depth).collect())
 
     plain = best(search.bm25(queries, search.index_of(docs, "id", "text"), "q", "text"))
-    assert best(search.bm25_top(queries, index, "q", "text", 7)) == plain and len(plain) > 150
-    assert best(search.bm25_top(queries, index, "q", "text", 7, common=0.0)) == plain
+    assert best(search.bm25_top(queries, index, "q", "text", 7, outright=0)) == plain and len(plain) > 150
+    assert best(search.bm25_top(queries, index, "q", "text", 7)) == plain
+    assert best(search.bm25_top(queries, index, "q", "text", 7, common=0.0, outright=0)) == plain
     one = docs.where("source = 's1'").select("id")
     narrowed = best(search.bm25(queries, index, "q", "text").join(one, "id", "left_semi"))
-    assert best(search.bm25_top(queries, index.within(one), "q", "text", 7)) == narrowed
+    assert best(search.bm25_top(queries, index.within(one), "q", "text", 7, outright=0)) == narrowed
     chunks = docs.select(F.col("id").cast("string").alias("chunk_id"), "text", F.col("source").alias("source_file"), F.lit(None).cast("string").alias("context"))
     asked = queries.select(F.col("q").alias("query_id"), F.lit(0).alias("formulation"), "text")
     sinks.write_index(chunks, str(tmp_path / "c"))
