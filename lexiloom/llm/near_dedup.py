@@ -20,7 +20,10 @@ document's latest kept point, so a weight of w costs far less than w steps.
    threshold): what a whole group has in common, as a passage or template,
    brings none of them together.  Where few documents meet, each pair that
    isn't connected yet is compared; where many do, stars go on, from the
-   smallest document and then from others, until one finds no link.
+   smallest document and then from others, until one finds no link.  What is
+   left open there is settled exactly: documents with the same common elements
+   from the meeting place on stand for one another, so each document is
+   compared with the smallest one of every such group that may be near it.
 4. Links are joined to classes by star-contraction.
 """
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpoint, short_batches, sole, whole_text
@@ -244,7 +247,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _meeting_places(about: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``e, band, key, n, root, small, m``: elements on which a near pair of ``about`` must meet.
+    """``e, band, key, n, root, left, tail, small, m``: elements on which a near pair of ``about`` must meet.
 
     With a multiset's elements from rarest to most common, a near pair has its
     first common one among the first ``1 - threshold`` of the larger and the
@@ -252,17 +255,21 @@ def _meeting_places(about: DataFrame, sets: DataFrame, threshold: float) -> Data
     of a group hold in common brings none of them together.  ``band`` is a step
     of sizes; the larger of a near pair is in the same or the next step, and is
     listed in both.  Only places where several roots meet are listed, ``m`` is
-    the number of documents there.
+    the number of documents there.  ``left`` counts a document's elements that
+    others hold too from ``e`` on, ``tail`` is a hash of those after ``e``.
     """
     share = threshold / (1 + threshold)
     rows = about.join(sets, "key").select("key", "root", F.size("items").alias("n"), F.explode("items").alias("e"))
     held = rows.groupBy("e").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed")).where("df > 1")
     common = rows.join(held, "e").groupBy("key", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e", "mixed"))).alias("c"))
-    ahead = F.transform("c", lambda x, i: F.struct(x["e"].alias("e"), x["mixed"].alias("mixed"), (F.size("c") - i).alias("left")))
-    early = F.filter(ahead, lambda x: x["mixed"] & (x["left"] >= (threshold - 1e-9) * F.col("n")))
+    whole = F.aggregate("c", F.lit(0).cast("long"), lambda h, x: h.bitwiseXOR(x["e"]))
+    ahead = F.transform("c", lambda x, i: F.struct((F.size("c") - i).alias("left"), x["e"].alias("e"), x["mixed"].alias("mixed")))
+    early = F.filter(ahead, lambda x: x["left"] >= (threshold - 1e-9) * F.col("n"))
+    passed = F.bit_xor("x.e").over(Window.partitionBy("key", "root", "n").orderBy(F.desc("x.left")).rowsBetween(Window.unboundedPreceding, 0))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    listed = common.select("key", "root", "n", step.alias("s"), F.explode(early).alias("x"))
-    listed = listed.select("x.e", F.explode(F.array("s", F.col("s") - 1)).alias("band"), "key", "n", "root", (F.col("x.left") >= (2 * share - 1e-9) * F.col("n")).alias("small"), "s")
+    listed = common.select("key", "root", "n", step.alias("s"), whole.alias("whole"), F.explode(early).alias("x"))
+    listed = listed.withColumn("tail", F.col("whole").bitwiseXOR(passed)).where("x.mixed")
+    listed = listed.select("x.e", F.explode(F.array("s", F.col("s") - 1)).alias("band"), "key", "n", "root", "x.left", "tail", (F.col("x.left") >= (2 * share - 1e-9) * F.col("n")).alias("small"), "s")
     listed = listed.withColumn("small", F.col("small") & (F.col("s") == F.col("band"))).drop("s")
     several = listed.groupBy("e", "band").agg(F.max("small").alias("_any"), (F.min("root") != F.max("root")).alias("_mixed"), F.count(F.lit(1)).alias("m"))
     return listed.join(several.where("_any and _mixed").select("e", "band", "m"), ["e", "band"])
@@ -289,6 +296,29 @@ def _starred(places: DataFrame, order: list[Column]) -> DataFrame:
     return first.join(centre, ["e", "band"]).where("r.x.root != c.x.root").select(F.col("r.x").alias("x"), F.col("c.x").alias("y")).select(*_pair("x", "y"))
 
 
+def _open(places: DataFrame, share: float, tile: int = 512) -> DataFrame:
+    """Pairs that leave no near pair of documents that meet at a place unconnected.
+
+    A near pair whose first common element is ``e`` has exactly its two tails'
+    overlap in common, which is the same for any two documents with these tails
+    and enough for smaller ones.  So either is near the smallest document with
+    the other's tail, and those two are near each other: it is enough to pair
+    each document with the smallest one of each tail.  ``left`` bounds the
+    overlap.  Documents and tails are dealt into tiles, so that no task gets
+    all of a place.
+    """
+    one = F.struct("key", "root")
+    tails = places.groupBy("e", "band", "tail").agg(F.min(F.struct("n", one.alias("x"), "left")).alias("r"))
+    tails = tails.select("e", "band", "tail", F.col("r.x").alias("y"), F.col("r.n").alias("ny"), F.col("r.left").alias("ly"))
+    tiles = places.groupBy("e", "band").agg(F.ceil(F.count(F.lit(1)) / tile).alias("rows")).join(tails.groupBy("e", "band").agg(F.ceil(F.count(F.lit(1)) / tile).alias("columns")), ["e", "band"])
+    x = places.select("e", "band", one.alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx")).join(tiles, ["e", "band"])
+    x = x.withColumn("i", F.pmod(F.xxhash64("x.key"), "rows")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).drop("rows", "columns")
+    y = tails.join(tiles, ["e", "band"])
+    y = y.withColumn("j", F.pmod(F.xxhash64("tail"), "columns")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).drop("rows", "columns", "tail")
+    may = F.least("lx", "ly") >= share * (F.col("nx") + F.col("ny"))
+    return x.join(y, ["e", "band", "i", "j"]).where(may & F.expr("x.root != y.root")).select(*_pair("x", "y"))
+
+
 def _further_links(stars: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, near: Column, few: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links ``a, b`` between documents under one centre of which one isn't near it, and what roots they join: ``root, into``."""
     loose = stars.where("loose").select("b").distinct()
@@ -296,20 +326,29 @@ def _further_links(stars: DataFrame, sets: DataFrame, roots: DataFrame, threshol
     about = about.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     places = checkpoint(_meeting_places(checkpoint(about), sets, threshold))
     links, joined, turn = [], [], 0
+
+    def linked(pairs: DataFrame) -> bool:
+        found = checkpoint(_compared(pairs.distinct(), sets).where(near).select("a", "b", "ra", "rb"))
+        if found.isEmpty():
+            return False
+        links.append(found.select("a", "b"))
+        joined.append(connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("into")))
+        return True
+
     while not places.isEmpty():
         # where few documents meet, each pair; elsewhere stars: around the smallest document, then around others in turn until they find no link
         pairs = _starred(places.where(F.col("m") > few), [~F.col("small"), F.col("n")] if turn == 0 else [F.xxhash64(F.lit(turn), "key")])
         if turn == 0:
             pairs = pairs.unionByName(_met(places.where(F.col("m") <= few)))
-        found = checkpoint(_compared(pairs.distinct(), sets).where(near).select("a", "b", "ra", "rb"))
-        if found.isEmpty():
+        if not linked(pairs):
             break
-        links.append(found.select("a", "b"))
-        joined.append(connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("into")))
         places = places.where(F.col("m") > few).join(joined[-1], "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
         several = places.groupBy("e", "band").agg((F.min("root") != F.max("root")).alias("_mixed"), F.max("small").alias("_any")).where("_mixed and _any").select("e", "band")
         places = checkpoint(places.join(several, ["e", "band"]))
         turn += 1
+    crowded = places.where(F.col("m") > few)
+    if not crowded.isEmpty():
+        linked(_open(crowded, threshold / (1 + threshold) - 1e-9))
     return links, joined
 
 

@@ -186,3 +186,57 @@ def test_sharding_pages_are_numbered_alike(spark):
     pages = Counter((r.shard, r.page) for r in out if r.n_bytes == 40)
     assert sorted(pages.values()) == [10] * 50  # no half-empty pages
     assert all(sum(r.n_bytes for r in part) == part[0].shard_bytes <= 400 for part in shards(out).values())
+
+
+def grid_of_passages(side=12, planted=6):
+    """Documents about a common body, each with one passage of either kind; only the planted ones share both with another."""
+    rng = random.Random(0)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    body, mark = words(180), words(5)
+    first, second = [words(4) for _ in range(side)], [words(4) for _ in range(side)]
+    text = lambda i, j, own: " ".join(body + mark + first[i] + mark + second[j] + mark + words(own) + mark)
+    # the smallest documents, around which stars go first, are near none
+    rows = [text(i, j, 19 if i == j < planted else 18) for i in range(side) for j in range(side)] + [text(i, i, 19) for i in range(planted)]
+    return list(enumerate(rows))
+
+
+def test_near_pairs_that_meet_only_in_crowds(spark):
+    rows = grid_of_passages()
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 144
+    out = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in out} == want
+
+
+def test_tiles_find_what_all_pairs_find(spark):
+    """Tails that differ, alone and in crowds, in one tile and in many."""
+    rng = random.Random(4)
+    share, tails = 0.8 / 1.8, [rng.sample(range(40), 30) for _ in range(25)]
+    rows = []
+    for k in range(120):
+        t = rng.randrange(25)
+        rows.append((7, 0, b"%03d" % k, rng.randrange(31, 42), b"%03d" % k, 31, t, True, 120))
+    places = spark.createDataFrame(rows, "e long, band int, key binary, n int, root binary, left int, tail long, small boolean, m long")
+    common = lambda x, y: 1 + len(set(tails[x[6]]) & set(tails[y[6]]))
+    near = lambda x, y: common(x, y) >= share * (x[3] + y[3])
+    of = {r[2]: r for r in rows}
+
+    def classes(pairs):
+        up = {k: k for k in of}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            if near(of[a], of[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+        return {k: root(k) for k in of}
+
+    want = classes([(a, b) for a in of for b in of if a < b])
+    assert 1 < len(set(want.values())) < 120
+    for tile in (512, 10, 3):
+        pairs = nd._open(places, share - 1e-9, tile).collect()
+        assert len({(r.a, r.b) for r in pairs}) < 120 * 25 and classes([(bytes(r.a), bytes(r.b)) for r in pairs]) == want
