@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lexiloom.llm import near_dedup as nd
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.sharding import shard
@@ -208,6 +209,13 @@ def test_near_pairs_that_meet_only_in_crowds(spark):
     assert {r.doc_id: r.class_id for r in out} == want
 
 
+def test_the_pipeline_keeps_one_of_near_pairs_that_meet_only_in_crowds(spark):
+    rows = grid_of_passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute_classes(rows).values()))
+
+
 def test_tiles_find_what_all_pairs_find(spark):
     """Tails that differ, alone and in crowds, in one tile and in many."""
     rng = random.Random(4)
