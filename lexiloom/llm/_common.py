@@ -29,10 +29,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexiloom-checkpoints"))
 
 
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    The shuffle files it was made from go at once.  Spark keeps them until the
+    driver happens to collect its garbage, so an operator of many steps would
+    hold those of all steps together.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(_LET_GO, None)
+    conf.set(_LET_GO, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: that of df may be run again
+    finally:
+        if before is None:
+            conf.unset(_LET_GO)
+        else:
+            conf.set(_LET_GO, before)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,12 +1,15 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from lexiloom.llm import near_dedup as nd
+from lexiloom.llm._common import checkpoint
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.sharding import shard
 
@@ -248,3 +251,19 @@ def test_tiles_find_what_all_pairs_find(spark):
     for tile in (512, 10, 3):
         pairs = nd._open(places, share - 1e-9, tile).collect()
         assert len({(r.a, r.b) for r in pairs}) < 120 * 25 and classes([(bytes(r.a), bytes(r.b)) for r in pairs]) == want
+
+
+def test_a_checkpoint_lets_its_shuffle_files_go(spark):
+    """Without a collection of the driver's garbage; the frame it was made from can be run again."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting, None)
+    many = spark.range(20_000).selectExpr("id % 5000 AS k").groupBy("k").count()
+    kept = checkpoint(many.join(many.where("k > 100").withColumnRenamed("count", "n"), "k"))
+    end = time.monotonic() + 20
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(setting, None) == was
+    assert kept.count() == 4899 and many.count() == 5000 and many.count() == 5000
