@@ -29,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpoint, short_batches, sole, whole_text
 
-_CACHE = 300_000
-_SHORT = 8
+_CACHE, _KEPT = 300_000, 225_000
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_MARK = re.compile(r"[.,;:!?](?<=[^\W\d_].)(?=\s|\Z)")  # one mark between a letter and a blank: tokens of its own
+_MARK = re.compile(r"[.,;:!?#$%&*](?<=[^\W\d_].)[.,;:!?#$%&*]*(?=\s|\Z)")  # marks between a letter and a blank: tokens of their own
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"  # blanks to str.split, not to the tokenizer
+_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # blanks beyond ASCII
 
 
 class WordTokens:
@@ -90,13 +91,18 @@ class WordTokens:
             out += [raw[i:j] for i, j in zip([0, *ends], ends)]
         return out
 
-    def _words(self, text: str) -> list[str]:
+    def _line(self, text: str) -> str:
+        """The text with words and marks between ASCII blanks."""
         text = _MARK.sub(r" \g<0>", text)
+        if text.isascii():
+            return text.lower()
+        if any(c in text for c in _WIDE_SPACE):
+            text = " ".join(text.split())
         try:
             text.encode("latin-1")  # here lower case and composition commute
         except UnicodeEncodeError:
-            return text.split()
-        return text.lower().split()
+            return text
+        return text.lower()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words."""
@@ -107,24 +113,36 @@ class WordTokens:
         return found
 
     def encode(self, texts: list[str], together: int = 64) -> Iterator[bytes]:
-        cache = self.cache
         for at in range(0, len(texts), together):
             some = texts[at : at + together]
-            split = [None if any(c in t for c in _ODD_SPACE) else self._words(t) for t in some]
-            every = set().union(*filter(None, split))
-            new = every.difference(cache)
-            if len(cache) + len(new) > _CACHE:
-                short = {w: cache[w] for w in cache if len(w) < _SHORT}  # the most used ones
-                cache.clear()
-                if len(short) < _CACHE // 2:
-                    cache.update(short)
-                new = every.difference(cache)
+            odd = [any(c in t for c in _ODD_SPACE) for t in some]
+            split = pc.ascii_split_whitespace(pa.array(["" if o else self._line(t) for t, o in zip(some, odd, strict=True)], pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            every = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # str objects, several times faster than to_pylist
+            new = set(every).difference(self.cache)
+            if len(self.cache) + len(new) > _CACHE:
+                self._tidy()
+                new = set(every).difference(self.cache)
             found = self._learn(new)
-            cache.update(found)
-            for text, words in zip(some, split, strict=True):
-                yield self._encode([text])[0] if words is None else b"".join(map(cache.__getitem__, words))
+            self.cache.update(found)
+            known = list(map(self.cache.__getitem__, every))
             for w in [w for w in found if len(w) > 64]:
-                del cache[w]
+                del self.cache[w]
+            # ids of the words in order, out of those of each word once
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            which = coded.indices.to_numpy()
+            n = sizes[which]
+            ends = np.cumsum(n)
+            ids = np.frombuffer(b"".join(known), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + n, n) + np.arange(n.sum())]
+            bounds = np.append(0, ends)[split.offsets.to_numpy()].tolist()
+            for text, o, i, j in zip(some, odd, bounds, bounds[1:], strict=False):
+                yield self._encode([text])[0] if o else ids[i:j].tobytes()
+
+    def _tidy(self) -> None:
+        """Keep the shortest words, the most used ones."""
+        up_to = np.cumsum(np.bincount(list(map(len, self.cache)), minlength=1))
+        longest = int(np.searchsorted(up_to, _KEPT, "right"))
+        self.cache = {w: ids for w, ids in self.cache.items() if len(w) < longest}
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -213,14 +231,24 @@ def _fit(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
     uses = weight * np.bincount(patterns[real], widths, minlength=size)
     step = 1.0 / uses[patterns].sum(1, where=real).max()
     target = counts.astype(float)
+    # the pieces column by column, mostly without the pads: few patterns have more than three; W makes pads count 0
+    columns = [(lengths, slice(None)) if 2 * np.count_nonzero(lengths) > len(x) else (lengths[lengths > 0], np.flatnonzero(lengths)) for lengths in np.ascontiguousarray(patterns.T)]
+    slope = np.empty(len(x))
     for _ in range(rounds):
         r = np.zeros(size)
-        for k in range(patterns.shape[1]):
-            r += np.bincount(patterns[:, k], ahead, size)
+        for lengths, rows in columns:
+            r += np.bincount(lengths, ahead[rows], size)
         r = (r - target) * weight
-        new = np.maximum(ahead - step * r[patterns].sum(1), 0)
+        slope[:] = 0
+        for lengths, rows in columns:
+            slope[rows] += r.take(lengths)
+        slope *= -step
+        slope += ahead
+        new = np.maximum(slope, 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead = new + (t - 1) / t_new * (new - x)
+        ahead = new - x
+        ahead *= (t - 1) / t_new
+        ahead += new
         x, t = new, t_new
     return x
 

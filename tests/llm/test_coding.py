@@ -158,3 +158,27 @@ def test_plan_is_never_worse_than_best_fit(top):
             used[v] += many
     assert (used == counts).all()
     assert sum(m for _, m in out) <= sum(m for _, m in packing._best_fit(counts.astype(np.int64), 2048))
+
+
+def test_words_are_cached_without_the_marks_after_them(monkeypatch):
+    """Runs of marks are tokens of their own, so words met with other marks are encoded once."""
+    marks = ["", ".", "!!", "###", "$$$", ".%%%", ",&&&", "?!*", ":;", "...", "'", "!'s", "#a", "_", "_.", "\u0301.", ".\u0301", "=", "\u0338", "²!", "1.", ")", "<|endoftext|>"]
+    some = [" ".join(w + m + after for m in marks) for w in ("word", "Größe", "ñandú", "λόγος", "日本", "x²", "don't", "7") for after in ("", "\n", " .", "\u0085", "\xa0", "\x1f")]
+    words = packing.WordTokens(WORDS)
+    for t, ids in zip(some, words.encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+    for blank in ([], [""], ["", ""], [" \n"], ["\x1f"], ["\x1f", "", "a"]):
+        assert list(words.encode(blank)) == [b"".join(words._encode([t])) for t in blank]
+    assert {"word", "###", "$$$", ".%%%", ",&&&"} <= set(words.cache)
+    assert not {"word###", "word$$$", "word.%%%", "word,&&&", "word!!"} & set(words.cache)
+    # a full cache keeps its shortest words, as many as it may
+    monkeypatch.setattr(packing, "_CACHE", 30)
+    monkeypatch.setattr(packing, "_KEPT", 20)
+    long = ["a" * n + f" b{n} " + "c" * (n % 7 + 1) for n in range(1, 100)]
+    for t in long:
+        assert np.frombuffer(next(words.encode([t])), "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(words.cache) <= 30
+    next(words.encode(["c cc ccc"]))
+    words._tidy()
+    kept = max(map(len, words.cache))
+    assert {"c", "cc", "ccc"} <= set(words.cache) and kept < 64 and 10 < len(words.cache) <= 20
