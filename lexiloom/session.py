@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields
 
@@ -39,6 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "lexiloom-shared")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    It is computed once however often it is used, and the planner knows its
+    size, so that a few rows are sent to a large table and not the other way.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def version_of(table: DataFrame) -> str:
     """A digest of a table's files: their names, sizes and times of change."""
     files = table.select("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time").alias("t")).distinct()
