@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ def in_python(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"^\(\?i?U\)", "", pattern), re.IGNORECASE if pattern.startswith("(?iU)") else 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands in it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
@@ -124,9 +130,16 @@ def repair_hyphenation(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, HYPHEN_BREAK, "$1$2"), HYPHEN_BREAK, "$1$2")
 
 
-def sentences(c: Column) -> Column:
-    """Sentences; a blank after an abbreviation is none of their borders."""
-    glued = F.regexp_replace(c, ABBREVIATIONS, "$1. ")
+def sentences(c: Column, chained: bool = True) -> Column:
+    """Sentences; a blank after an abbreviation is none of their borders.
+
+    ``chained``: of abbreviations that one blank parts each counts.  Without
+    it the blank belongs to the first, and the second may end a sentence.
+    """
+    if chained:
+        glued = F.regexp_replace(c, ABBREVIATIONS, "$1. ")
+    else:
+        glued = F.regexp_replace(c, ABBREVIATIONS.replace(r"\b(", r"(^|[^\p{L}\p{N}\p{M}_])("), "$1$2. ")
     parts = F.transform(F.split(glued, SENTENCE_END.replace("\\s+(", "[\\s&&[^\\xa0]]+("), -1), lambda s: strip(F.replace(s, F.lit(" "), F.lit(" "))))
     return F.filter(parts, lambda s: s != "")
 
