@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed value: what counts as a date in a cell.
 DATE = r"^\s*(\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?|\d{1,2}[./]\d{1,2}[./]\d{2,4})\s*$"
 
@@ -55,16 +57,22 @@ def table_to_markdown(rows: Column, header: bool = True) -> Column:
     without a header the columns are named ``col1`` and so on.
     """
     some = lambda r: F.exists(r, lambda v: F.trim(v) != "")
-    full = F.filter(F.transform(rows, lambda r: F.transform(r, lambda v: F.coalesce(v, F.lit("")))), some)
-    width = F.array_max(F.transform(full, F.size))
-    padded = F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    live = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(padded, lambda r: F.trim(r[i]) != ""))
-    grid = F.transform(padded, lambda r: F.transform(live, lambda i: r[i]))
-    names = F.transform(live, lambda _, i: F.concat(F.lit("col"), (i + 1).cast("string")))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    rule = line(F.transform(live, lambda _: F.lit("---")))
-    head, body = (F.element_at(grid, 1), F.slice(grid, 2, 1 << 30)) if header else (names, grid)
-    return F.when(F.size(full) > 0, F.array_join(F.concat(F.array(line(head), rule), F.transform(body, line)), "\n")).otherwise("")
+
+    def drawn(padded: Column, live: Column) -> Column:
+        names = F.transform(live, lambda _, i: F.concat(F.lit("col"), (i + 1).cast("string")))
+        rule = line(F.transform(live, lambda _: F.lit("---")))
+        lines = F.transform(padded, lambda r: line(F.transform(live, lambda i: r[i])))
+        return let(lines, lambda x: F.array_join(F.concat(F.array(x[0], rule), F.slice(x, 2, 1 << 30)) if header else F.concat(F.array(line(names), rule), x), "\n"))
+
+    def table(full: Column) -> Column:
+        pad = lambda width: F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        live = lambda padded, width: F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(padded, lambda r: F.trim(r[i]) != ""))
+        of = lambda width: let(pad(width), lambda padded: let(live(padded, width), lambda some_: drawn(padded, some_)))
+        return F.when(F.size(full) > 0, let(F.array_max(F.transform(full, F.size)), of)).otherwise("")
+
+    # each step is computed once, not again for every row and cell
+    return let(F.filter(F.transform(rows, lambda r: F.transform(r, lambda v: F.coalesce(v, F.lit("")))), some), table)
 
 
 def list_to_markdown(items: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import markdown_rows
-from ..functions.text import repair_hyphenation, strip, strip_fences
+from ..functions.text import let, repair_hyphenation, strip, strip_fences
 from ..functions.vectors import bbox_area
 
 # Labels, titles, patterns and thresholds that results depend on.
@@ -26,6 +26,7 @@ PROSE = (
     r"i see\b|изображена?\b)"
 )
 OPEN_HEADING = r"(?iU)[,(\-–—:;/]\s*$|\b(и|или|the|of|and|for|по|для|в|на|с)\s*$"
+CJK = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 MATH = r"[\\^_={}∑∫±≤≥×÷·√∞→αβγδθλμπσφω]|\d\s*[+\-*/=]\s*\d"
 TEXT_INK, MIN_LINES, CHARS_PER_LINE, SHORT_SHARE = 0.015, 8, 30, 0.3
 MAX_REPEATED_LINES, MAX_REPEATS, MAX_BRACES, MAX_TRANSCRIPT = 4, 6, 6, 2000
@@ -161,54 +162,62 @@ def _verdict(ok: bool, reason: str = "", retry: bool = False) -> Column:
 
 def check_page_transcript(text: Column, ink: Column, text_lines: Column, no_text: str = "[no text]") -> Column:
     """Struct (ok, reason, retryable): may a page's transcript be trusted?"""
-    t = strip(strip_fences(F.coalesce(text, F.lit(""))))
-    lines = F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: x != "")
-    letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
-    cjk = F.length(F.regexp_replace(t, r"[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]", ""))
-    short = (text_lines >= MIN_LINES) & (F.length(t) < SHORT_SHARE * text_lines * CHARS_PER_LINE)
-    return (
-        F.when(((t == "") | F.lower(t).startswith(no_text)) & (ink >= TEXT_INK), _verdict(False, "empty_on_inked_page"))
-        .when((t == "") | F.lower(t).startswith(no_text), _verdict(True))
-        .when(t.rlike(REFUSAL), _verdict(False, "refusal"))
-        .when(_longest_run(lines) > MAX_REPEATED_LINES, _verdict(False, "repetition_loop"))
-        .when((letters > 0) & (cjk > 0.05 * letters), _verdict(False, "foreign_script"))
-        .when(F.coalesce(short, F.lit(False)), _verdict(False, "short_transcript", True))
-        .otherwise(_verdict(True))
-    )
+
+    def check(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: x != "")
+        letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
+        cjk = F.length(F.regexp_replace(t, r"[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]+", ""))
+        foreign = F.when(t.rlike(CJK), let(letters, lambda n: (n > 0) & (cjk > 0.05 * n))).otherwise(F.lit(False))
+        short = (text_lines >= MIN_LINES) & (F.length(t) < SHORT_SHARE * text_lines * CHARS_PER_LINE)
+        none = (t == "") | F.lower(F.left(t, F.lit(len(no_text)))).startswith(no_text)
+        return (
+            F.when(none & (ink >= TEXT_INK), _verdict(False, "empty_on_inked_page"))
+            .when(none, _verdict(True))
+            .when(t.rlike(REFUSAL), _verdict(False, "refusal"))
+            .when(_longest_run(lines) > MAX_REPEATED_LINES, _verdict(False, "repetition_loop"))
+            .when(foreign, _verdict(False, "foreign_script"))
+            .when(F.coalesce(short, F.lit(False)), _verdict(False, "short_transcript", True))
+            .otherwise(_verdict(True))
+        )
+
+    return let(strip(strip_fences(F.coalesce(text, F.lit("")))), check)
 
 
 def check_formula_transcript(text: Column, kind: Column) -> Column:
     """Struct (ok, reason, retryable) for the transcript of one formula or code region, already cleaned."""
-    t = strip(F.coalesce(text, F.lit("")))
-    lines = F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: x != "")
-    piece = strip(F.substring(t, 1, 24))
-    times = (F.length(t) - F.length(F.replace(t, piece, F.lit("")))) / F.greatest(F.length(piece), F.lit(1))
-    run = _longest_run(lines)
-    loops = F.when((F.size(lines) > 1) & (run > 1), run).when(F.length(piece) >= 8, times).otherwise(1)
-    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    braces = F.abs(count("{") - count("}"))
-    words = F.size(F.regexp_extract_all(t, F.lit(r"(?U)[^\W\d_]{2,}"), F.lit(0)))
     formula = kind == "formula"
-    return (
-        F.when(t == "", _verdict(False, "empty"))
-        .when(t.rlike(REFUSAL), _verdict(False, "refusal"))
-        .when(t.rlike(PROSE), _verdict(False, "prose"))
-        .when(F.length(t) > MAX_TRANSCRIPT, _verdict(False, "too_long"))
-        .when(loops > MAX_REPEATS, _verdict(False, "loop"))
-        .when(formula & (braces > MAX_BRACES), _verdict(False, "unbalanced", True))
-        .when(formula & (braces > 0), _verdict(True, "unbalanced", True))
-        .when(formula & ~t.rlike(MATH) & (words > 12), _verdict(False, "not_a_formula"))
-        .otherwise(_verdict(True))
-    )
+
+    def check(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: x != "")
+        piece = strip(F.substring(t, 1, 24))
+        times = let(piece, lambda p: F.when(F.length(p) >= 8, (F.length(t) - F.length(F.replace(t, p, F.lit("")))) / F.length(p)).otherwise(1))
+        loops = let(lines, lambda x: let(_longest_run(x), lambda run: F.when((F.size(x) > 1) & (run > 1), run).otherwise(times)))
+        count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+        braces = F.abs(count("{") - count("}"))
+        words = F.size(F.regexp_extract_all(t, F.lit(r"(?U)[^\W\d_]{2,}"), F.lit(0)))
+        return (
+            F.when(t == "", _verdict(False, "empty"))
+            .when(t.rlike(REFUSAL), _verdict(False, "refusal"))
+            .when(t.rlike(PROSE), _verdict(False, "prose"))
+            .when(F.length(t) > MAX_TRANSCRIPT, _verdict(False, "too_long"))
+            .when(loops > MAX_REPEATS, _verdict(False, "loop"))
+            .when(formula & (braces > MAX_BRACES), _verdict(False, "unbalanced", True))
+            .when(formula & (braces > 0), _verdict(True, "unbalanced", True))
+            .when(formula & ~t.rlike(MATH) & (words > 12), _verdict(False, "not_a_formula"))
+            .otherwise(_verdict(True))
+        )
+
+    return let(strip(F.coalesce(text, F.lit(""))), check)
 
 
 def is_degenerate_table(text: Column) -> Column:
     """A table without a usable grid: under two rows or columns, or mostly empty."""
-    rows = markdown_rows(text)
-    columns = F.array_max(F.transform(rows, F.size))
-    body = F.flatten(F.slice(rows, 2, 1 << 30))
-    empty = F.size(F.filter(body, lambda v: v == ""))
-    return (F.size(rows) < 2) | (columns < 2) | ((F.size(body) > 0) & (empty > MAX_EMPTY_CELLS * F.size(body)))
+    def few(rows: Column, body: Column) -> Column:
+        columns = F.array_max(F.transform(rows, F.size))
+        empty = F.size(F.filter(body, lambda v: v == ""))
+        return (F.size(rows) < 2) | (columns < 2) | ((F.size(body) > 0) & (empty > MAX_EMPTY_CELLS * F.size(body)))
+
+    return let(markdown_rows(text), lambda rows: let(F.flatten(F.slice(rows, 2, 1 << 30)), lambda body: few(rows, body)))
 
 
 def is_better_table(original: Column, candidate: Column) -> Column:
