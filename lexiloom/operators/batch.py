@@ -13,6 +13,12 @@ def _found(df: DataFrame, rule: str, key: str, when, detail=None) -> DataFrame:
     return df.where(when).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))
 
 
+def _each(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """``rule, key, detail`` of rows that break rules (rule, key, when, detail or nothing); ``df`` is computed once for all."""
+    found = lambda rule, key, when, detail=None: F.when(when, F.struct(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail")))
+    return df.select(F.explode(F.array_compact(F.array(*(found(*r) for r in rules)))).alias("v")).select("v.rule", "v.key", "v.detail")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

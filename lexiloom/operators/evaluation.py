@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CONTROL, MOJIBAKE, TABLE_RULE, alphanumeric_key, strip, tokens
-from .batch import _found, _union
+from ..functions.text import CONTROL, MOJIBAKE, TABLE_RULE, strip, tokens
+from .batch import _each
 
 # Limits of the audits, and prices per 1000 tokens.
 LONG_HEADING, SHORT_BODY = 300, 15
@@ -64,38 +67,48 @@ def block_audit(blocks: DataFrame, file_type: str | None = None) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("ord")
     mark = F.struct("type", strip(text).alias("t"))
     b = blocks.withColumn("_repeat", (strip(text) != "") & mark.eqNullSafe(F.lag(mark).over(order)))
-    parts = [
-        _found(b, "empty_block", "doc_id", (strip(text) == "") & ~F.col("type").isin("figure", "image"), F.col("type")),
-        _found(b, "mojibake", "doc_id", text.rlike(MOJIBAKE), short),
-        _found(b, "control_chars", "doc_id", text.rlike(CONTROL), short),
-        _found(b, "heading_too_long", "doc_id", (F.col("type") == "heading") & (F.length(text) > LONG_HEADING), short),
-        _found(b, "block_without_source_file", "doc_id", F.coalesce(F.col("source_file") == "", F.lit(True))),
-        _found(b, "duplicate_adjacent_block", "doc_id", F.col("_repeat"), short),
+    rules = [
+        ("empty_block", "doc_id", (strip(text) == "") & ~F.col("type").isin("figure", "image"), F.col("type")),
+        ("mojibake", "doc_id", text.rlike(MOJIBAKE), short),
+        ("control_chars", "doc_id", text.rlike(CONTROL), short),
+        ("heading_too_long", "doc_id", (F.col("type") == "heading") & (F.length(text) > LONG_HEADING), short),
+        ("block_without_source_file", "doc_id", F.coalesce(F.col("source_file") == "", F.lit(True))),
+        ("duplicate_adjacent_block", "doc_id", F.col("_repeat"), short),
     ]
     if file_type == "pdf":
-        parts.append(_found(b, "pdf_block_without_page", "doc_id", F.col("page_number").isNull(), F.col("type")))
-    return _union(parts)
+        rules.append(("pdf_block_without_page", "doc_id", F.col("page_number").isNull(), F.col("type")))
+    return _each(b, rules)
 
 
 def chunk_audit(chunks: DataFrame, budget: int) -> DataFrame:
-    """``rule, key, detail`` of chunks that look wrong."""
+    """``rule, key, detail`` of chunks that look wrong; the chunks are computed once.
+
+    Chunks of a document with equal texts are counted by the texts' digests;
+    every chunk that a rule finds is one row before, and only these and the
+    digests are exchanged.
+    """
     text = F.coalesce("text", F.lit(""))
-    some = chunks.where(strip(text) != "")
+    some = strip(text) != ""
     crumb = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " > ")
     rest = F.regexp_replace(F.substr(text, F.length(crumb) + 1), r"^[ >\n]+|[ >\n]+$", "")
     body = F.when((crumb != "") & F.startswith(text, crumb), rest).otherwise(text)
     table = (F.size("block_types") == 1) & F.array_contains("block_types", "table")
-    same = some.groupBy("doc_id", strip(text).alias("t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _union(
+    found = _each(
+        chunks,
         [
-            _found(chunks, "empty_chunk", "chunk_id", strip(text) == ""),
-            _found(some, "chunk_over_budget", "chunk_id", F.length(text) > budget, F.length(text)),
-            _found(some, "chunk_without_content", "chunk_id", F.length(body) < SHORT_BODY, F.substring(text, 1, 70)),
-            _found(some, "table_chunk_without_header", "chunk_id", table & F.contains(text, F.lit("|")) & ~text.rlike(TABLE_RULE)),
-            _found(some, "chunk_without_source_file", "chunk_id", F.coalesce(F.col("source_file") == "", F.lit(True))),
-            same.select(F.lit("duplicate_chunk").alias("rule"), F.col("doc_id").cast("string").alias("key"), F.concat(F.lit("x"), F.col("n").cast("string")).alias("detail")),
-        ]
+            ("empty_chunk", "chunk_id", ~some),
+            ("chunk_over_budget", "chunk_id", some & (F.length(text) > budget), F.length(text)),
+            ("chunk_without_content", "chunk_id", some & (F.length(body) < SHORT_BODY), F.substring(text, 1, 70)),
+            ("table_chunk_without_header", "chunk_id", some & table & F.contains(text, F.lit("|")) & ~text.rlike(TABLE_RULE)),
+            ("chunk_without_source_file", "chunk_id", some & F.coalesce(F.col("source_file") == "", F.lit(True))),
+            ("", "doc_id", some, F.sha2(strip(text), 256)),
+        ],
     )
+    # rows without a rule are texts; their digest is the detail until they are counted
+    counted = found.groupBy("rule", "key", "detail").agg(F.count(F.lit(1)).alias("n"))
+    same = F.when((F.col("rule") == "") & (F.col("n") > 1), F.array(F.struct(F.lit("duplicate_chunk").alias("rule"), "key", F.concat(F.lit("x"), F.col("n").cast("string")).alias("detail"))))
+    rows = F.when(F.col("rule") == "", same).otherwise(F.array_repeat(F.struct("rule", "key", "detail"), F.col("n").cast("int")))
+    return counted.select(F.explode(rows).alias("v")).select("v.rule", "v.key", "v.detail")
 
 
 def findings(violations: DataFrame, samples: int = 3, salts: int = 64) -> DataFrame:
@@ -115,11 +128,47 @@ def findings(violations: DataFrame, samples: int = 3, salts: int = 64) -> DataFr
 
 
 def coverage(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``doc_id, sentence, covered``: is a source sentence in its document's chunks or their contexts?"""
-    shown = F.concat_ws(" ", "text", "context")
-    whole = chunks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(alphanumeric_key(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", shown.alias("t")))), lambda x: x["t"]), " ")).alias("all"))
-    s = sentences.select(F.col("doc_id").cast("string").alias("doc_id"), "sentence", alphanumeric_key(F.col("sentence")).alias("k"))
-    return s.join(whole, "doc_id", "left").select("doc_id", "sentence", F.coalesce(F.contains("all", F.col("k")), F.lit(False)).alias("covered"))
+    """``doc_id, sentence, covered``: is a source sentence in its document's chunks or their contexts?
+
+    Sentences of a document meet its chunks as one row.  They mostly come in
+    the order of the chunks, so each is looked for after the last one found
+    first; searching all from the start takes the square of a text's length.
+    """
+    keyed = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.struct("chunk_index", F.pandas_udf(_keys, "string")("text", "context").alias("t")).alias("c"))
+    whole = keyed.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["t"]), "").alias("all"))
+    s = sentences.select(F.col("doc_id").cast("string").alias("doc_id"), "sentence")
+    both = s.groupBy("doc_id").agg(F.collect_list(F.struct("sentence")).alias("s")).join(whole, "doc_id", "left")
+    found = F.arrays_zip(F.col("s.sentence").alias("sentence"), F.pandas_udf(_held, "array<boolean>")("all", "s.sentence").alias("covered"))
+    return both.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.sentence", "f.covered")
+
+
+_OTHER = re.compile("[^0-9a-zа-яё]+")  # what alphanumeric_key leaves out
+
+
+def _key(text: str) -> str:
+    return _OTHER.sub("", text.lower())
+
+
+def _keys(texts: pd.Series, contexts: pd.Series) -> pd.Series:
+    """``alphanumeric_key`` of chunks and their contexts; Java's classes of Cyrillic are much slower than Python's."""
+    return pd.Series(["".join(_key(x) for x in pair if x is not None) for pair in zip(texts, contexts, strict=True)], dtype=object)
+
+
+def _held(wholes: pd.Series, sentences: pd.Series) -> pd.Series:
+    """Which sentences' keys are in a text."""
+
+    def one(whole: str | None, ss) -> list[bool]:
+        out, at = [], 0
+        for s in ss:
+            key = None if s is None else _key(s)
+            n = -1 if whole is None or key is None else whole.find(key, at)
+            if n < 0 and at and key is not None:
+                n = whole.find(key, 0, at + len(key))
+            at = n if n >= 0 else at
+            out.append(n >= 0)
+        return out
+
+    return pd.Series([one(w, ss) for w, ss in zip(wholes, sentences, strict=True)], dtype=object)
 
 
 def word_recall(reference: Column, found: Column) -> Column:

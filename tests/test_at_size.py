@@ -2,10 +2,11 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import numbers, text
-from lexiloom.operators import blocks
+from lexiloom.operators import blocks, evaluation
 from lexiloom.plans import catalogue
 
 
@@ -47,3 +48,41 @@ def test_a_transcript_is_stripped_once(spark):
     assert page.count("\\n?```") == 1
     formula = optimised(d.select(blocks.check_formula_transcript(F.col("t"), F.lit("formula")).alias("v")))
     assert formula.count("coalesce(t#") == 1
+
+
+@pytest.mark.parametrize("name", ["chunk_audit", "block_audit", "coverage"])
+def test_texts_are_parsed_once(spark, name):
+    """Every rule parsed all texts again."""
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["chunk_pages", "legacy_chunks"])
+def test_pages_are_chunked_where_they_lie(spark, name):
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "hashpartitioning" not in plan
+
+
+def test_chunks_of_pages_are_those_of_their_blocks(spark):
+    from lexiloom.operators import chunking
+    from lexiloom.sources import files
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame([(-1, "u", None), (-2, None, ""), (-3, "u", "<p>x y")], "page_id long, url string, html string"))
+    parsed = files.text_blocks(pages, "page_id", "html", "url", "html")
+    for strategy in ("structured", "legacy"):
+        want = sorted(map(str, chunking.chunk_documents(parsed, strategy=strategy).collect()))
+        assert sorted(map(str, chunking.chunk_texts(pages, "page_id", "html", "url", "html", strategy=strategy).collect())) == want
+
+
+def test_sentences_out_of_order_are_found(spark):
+    chunks = spark.createDataFrame([("d", 2, "Gamma delta.", None), ("d", 1, "Alpha", "beta Ёж"), ("e", 1, None, "x")], "doc_id string, chunk_index int, text string, context string")
+    asked = [("d", "GAMMA"), ("d", "alpha beta"), ("d", "ёж, gamma"), ("d", "delta alpha"), ("d", None), ("d", "..."), ("f", "alpha"), ("e", "X")]
+    found = evaluation.coverage(spark.createDataFrame(asked, "doc_id string, sentence string"), chunks).collect()
+    assert {(r.doc_id, r.sentence): r.covered for r in found} == {a: a not in (("d", "delta alpha"), ("d", None), ("f", "alpha")) for a in asked}
+
+
+def test_equal_chunks_are_counted_and_findings_repeat(spark):
+    rows = [("d", "c1", "same words in this chunk", "f"), ("d", "c1", "tiny", ""), ("d", "c1", " same words in this chunk ", "f"), ("d", "c1", "tiny", ""), ("e", "c9", "same words in this chunk", "f")]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, text string, source_file string").withColumn("heading_path", F.array().cast("array<string>")).withColumn("block_types", F.array(F.lit("text")))
+    got = sorted(tuple(r) for r in evaluation.chunk_audit(chunks, 100).collect())
+    assert got == [("chunk_without_content", "c1", "tiny")] * 2 + [("chunk_without_source_file", "c1", "")] * 2 + [("duplicate_chunk", "d", "x2")] * 2
